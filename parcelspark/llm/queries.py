@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import prefix_counts, rank_bpe
+from parcelspark.llm import prefix_counts, quality, rank_bpe, records, secrets
 from parcelspark.llm.common import table
 
 
+def op1_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op9_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_prefix_token_counts, op9_rank_array_bpe)}
+def op10_indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.record_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_boosted_quality_rules,
+        op6_prefix_token_counts,
+        op8_entropy_secret_scan,
+        op9_rank_array_bpe,
+        op10_indexed_records,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
