@@ -89,3 +89,21 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Keys that may be broadcast: about 100 MB at worst.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, key: F.Column, bad: DataFrame, anti: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in ``bad`` (or is, with ``anti=False``).
+
+    The keys are written and counted first; up to ``BROADCAST_KEYS`` they are
+    broadcast, and beyond that the join shuffles.  Columns stay as they are,
+    whatever their names.
+    """
+    name = f"__key_{uuid.uuid4().hex}"
+    keys = cut(bad.toDF(name).distinct())
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, key.eqNullSafe(keys[name]), "left_anti" if anti else "left_semi").select(*[docs[c] for c in docs.columns])
