@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import prefix_counts, quality, rank_bpe, records, secrets
+from parcelspark.llm import decontam, minhash, prefix_counts, quality, rank_bpe, records, secrets
 from parcelspark.llm.common import table
 
 
@@ -13,10 +13,19 @@ def op1_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_key")
+
+
 def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_boosted_quality_rules,
+        op3_winnowed_decontamination,
         op6_prefix_token_counts,
+        op7_circulant_minhash,
         op8_entropy_secret_scan,
         op9_rank_array_bpe,
         op10_indexed_records,
