@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import decontam, minhash, prefix_counts, quality, rank_bpe, records, secrets
+from parcelspark.llm import decontam, html_text, langid, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
 from parcelspark.llm.common import table
 
 
@@ -13,11 +13,23 @@ def op1_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_fused_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op3_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("key")
 
 
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op5_consensus_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_boosted_quality_rules,
+        op2_fused_language_id,
         op3_winnowed_decontamination,
+        op4_extendible_sharding,
+        op5_consensus_page_text,
         op6_prefix_token_counts,
         op7_circulant_minhash,
         op8_entropy_secret_scan,
