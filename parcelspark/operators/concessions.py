@@ -71,14 +71,13 @@ def read_clause(text: str | None) -> list[dict]:
     return items
 
 
-@F.pandas_udf(ITEM)
-def clause_items(texts: pd.Series) -> pd.Series:
+def _clause_items(texts: pd.Series) -> pd.Series:
     return texts.map(read_clause)
 
 
 def with_items(leases: DataFrame, text: str = "concessions") -> DataFrame:
     """Leases with their concession items (R24); a null clause has none."""
-    return leases.withColumn("items", clause_items(F.col(text)))
+    return leases.withColumn("items", F.pandas_udf(_clause_items, ITEM)(F.col(text)))
 
 
 def priced(leases: DataFrame, as_of: str) -> DataFrame:

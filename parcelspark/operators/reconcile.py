@@ -196,10 +196,11 @@ def trailing_trend(lines: DataFrame, least: float = 25.0) -> DataFrame:
     n = Window.partitionBy("team_id", "building_key", "category")
     rows = lines.withColumn("last", F.max("month_idx").over(n))
     sums = rows.groupBy("team_id", "building_key", "category").agg(
-        (F.sum(F.when(F.col("month_idx") > F.col("last") - 3, F.col("amount"))).cast("double") / 3).alias("t3"), (F.sum("amount").cast("double") / F.count("amount")).alias("t12"), F.count("*").alias("months")
+        F.sum(F.when(F.col("month_idx") > F.col("last") - 3, F.col("amount"))).cast("double").alias("last_3_total"), F.sum("amount").cast("double").alias("total"), F.count("amount").alias("months")
     )
+    sums = sums.withColumn("t3", F.col("last_3_total") / 3).withColumn("t12", F.col("total") / F.col("months"))
     change = (F.col("t3") - F.col("t12")) / F.abs(F.col("t12")) * 100
-    return sums.where((F.col("months") >= 6) & (F.col("t12") != 0)).select("team_id", "building_key", "category", F.round("t3", 2).alias("trailing_3"), F.round("t12", 2).alias("trailing_12"), F.round(change, 1).alias("change_pct"), (change > least).alias("flagged"))
+    return sums.where((F.col("months") >= 6) & (F.col("t12") != 0)).select("team_id", "building_key", "category", "last_3_total", "total", F.round(change, 1).alias("change_pct"), (change > least).alias("flagged"))
 
 
 def superseded_files(files: DataFrame, least: float = 0.5) -> DataFrame:

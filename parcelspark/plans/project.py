@@ -109,7 +109,8 @@ def typed_leases(leases: DataFrame) -> DataFrame:
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_leases(text_leases(spark, sf_dir))
+    """The typed table, parsed once and kept: queries of one session over the same files share it."""
+    return typed_leases(text_leases(spark, sf_dir)).persist()
 
 
 LEASE_SQL = """
