@@ -82,14 +82,14 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append((tuple(s for _, s, _ in stack if s), joined, min(linked, len(joined))))
+                out.append((("page", *(s for _, s, _ in stack if s)), joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
     def close(to: int):
         nonlocal depth_dropped
         while len(stack) > to:
-            if any(b for b in (stack[-1][0] in BLOCKS,)):
+            if stack[-1][0] in BLOCKS:
                 end_block()
             depth_dropped -= stack.pop()[2]
 
