@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.operators import activity, concessions, documents, extraction, history, overlay, portfolio, reconcile, risks, state
+from parcelspark.operators import activity, concessions, documents, extraction, history, identity, lease_text, overlay, portfolio, reconcile, risks, state
 from parcelspark.plans.project import AS_OF, FIELDS, LEASE_SQL, leases, read
+from parcelspark.sources import sinks
 from parcelspark.streaming import limits
 
 QUERIES: dict = {}
@@ -642,6 +643,41 @@ def typed_leases(spark, sf_dir):
     return leases(spark, sf_dir).withColumns(money).select("lease_id", "team_id", "is_rent_roll", "tenant_key", "unit_key", "building_key", "rent", "deposit", "cam", "sqft", "start_date", "end_date", "notice_days", "termination_year", "cure_days")
 
 
+@query("""SELECT team_id, count(*) AS leases, sum(sqft) AS total_sqft, sum(rent)::DOUBLE AS total_rent, round((sum(rent) FILTER (rent IS NOT NULL AND sqft > 0))::DOUBLE / sum(sqft) FILTER (rent IS NOT NULL AND sqft > 0), 2) AS weighted_psf FROM leases GROUP BY team_id""")
+def rent_roll_totals(spark, sf_dir):
+    return sinks.rent_roll_totals(leases(spark, sf_dir))
+
+
+@query(f"""SELECT lease_id, tenant, rent::DOUBLE AS rent, round(psf, 2) AS psf, (year(end_date) - 1999) * 12 + month(end_date) - 1 - (day(end_date) < 1)::INT AS months_left, notice_days, is_rent_roll FROM leases""")
+def rent_roll_export(spark, sf_dir):
+    return sinks.rent_roll(leases(spark, sf_dir), AS_OF).select("lease_id", "tenant", F.col("rent").cast("double").alias("rent"), "psf", "months_left", "notice_days", "is_rent_roll")
+
+
+@query("""u AS (SELECT o_orderkey AS upload_id, tenant_key_raw, building_key, team_id FROM orders JOIN leases ON o_orderkey = lease_id WHERE o_orderstatus = 'F'), old AS (SELECT * FROM leases WHERE is_rent_roll)
+ SELECT upload_id, min(lease_id) AS lease_id FROM u JOIN old USING (team_id, tenant_key_raw, building_key) GROUP BY upload_id HAVING count(*) = 1""")
+def resubmissions(spark, sf_dir):
+    rows = leases(spark, sf_dir)
+    filed = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("lease_id"))
+    uploads = rows.join(filed, "lease_id").select("team_id", F.col("lease_id").alias("upload_id"), "tenant_key", "building_key")
+    return identity.resubmissions(uploads, rows.where("is_rent_roll"))
+
+
+@query("""t AS (SELECT o_orderkey AS lease_id, o_orderpriority AS tag FROM orders UNION ALL SELECT l_orderkey, l_returnflag FROM lineitem), g AS (SELECT lease_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM t GROUP BY lease_id) SELECT l.lease_id, coalesce(tags, '') AS tags FROM leases l LEFT JOIN g USING (lease_id)""")
+def tagged_leases(spark, sf_dir):
+    tags = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("lease_id"), F.col("o_orderpriority").alias("tag")).union(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag"))
+    return identity.with_tags(leases(spark, sf_dir).select("lease_id"), tags).select("lease_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""f AS (SELECT o_orderkey AS finding_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 7 END AS lease_id, CASE WHEN o_orderkey % 3 = 1 THEN 'customer' || lpad(CAST(o_custkey * 2 AS VARCHAR), 9, '0') END AS tk, CASE WHEN o_orderkey % 3 = 2 THEN (90 + o_orderkey % 40) || ' main st' END AS bk FROM orders)
+ SELECT finding_id FROM f WHERE CASE WHEN lease_id IS NOT NULL THEN lease_id IN (SELECT lease_id FROM leases) WHEN tk IS NOT NULL THEN tk IN (SELECT tenant_key_raw FROM leases WHERE tenant_key_raw IS NOT NULL) ELSE bk IN (SELECT building_key FROM leases) END""")
+def relevant_findings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    found = read(spark, sf_dir, "orders").select(
+        k.alias("finding_id"), F.when(k % 3 == 0, k + 7).alias("lease_id"), F.when(k % 3 == 1, F.concat(F.lit("customer"), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0"))).alias("tenant_key"), F.when(k % 3 == 2, F.concat((90 + k % 40).cast("string"), F.lit(" main st"))).alias("building_key")
+    )
+    return identity.still_relevant(found, leases(spark, sf_dir)).select("finding_id")
+
+
 # --- not expressible in SQL: held against small fixtures in the tests ------------------------------
 
 
@@ -665,3 +701,10 @@ def effective_rents(spark, sf_dir):
 @query()
 def concessions_ending(spark, sf_dir):
     return concessions.ending_soon(conceded(spark, sf_dir), AS_OF)
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    """Documents of a source as the pages of one file."""
+    pages = read(spark, sf_dir, "documents").select((F.col("doc_id") / 20).cast("long").alias("doc_id"), (F.col("doc_id") % 20).cast("int").alias("page"), "text")
+    return lease_text.page_chunks(pages, 8, 10_000)

@@ -24,7 +24,7 @@ ALIASES = {
 }
 #: Headers that hold other figures: market, yearly and per-foot rents, and people of the owner.
 DENIED = re.compile(r"\b(?:market|asking|annual|yearly|per year|psf|per sq|sq ft rent|manager|prior|budget)\b")
-NOT_TENANT = re.compile(r"(?i)^\s*(?:|vacant|vacancy|total|totals|subtotal|sub total|grand total|n/?a|none|down|model|office|-+)\b\s*:?.*$")
+NOT_TENANT = re.compile(r"(?i)^\s*(?:$|-+\s*$|(?:vacant|vacancy|totals?|sub ?totals?|grand total|n/?a|none|down|model|office)\b)")
 FUTURE = re.compile(r"(?i)\b(?:future|applicant)\b|\bpending\b.*\bmove|\bmove.*\bpending\b")
 HEADER_ROWS = 50
 
