@@ -25,6 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """Rows of a small file dealt to all cores, as parsing is bound by CPU; a scan of many splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _money(cents: F.Column, style: F.Column) -> F.Column:
     dollars = F.format_number(cents / 100, 2)
     return F.when(style == 0, F.concat(F.lit("$"), dollars)).when(style == 1, F.concat(F.lit("$ "), F.replace(dollars, F.lit(","), F.lit("")), F.lit(" per month"))).otherwise(
@@ -38,7 +44,7 @@ def _date(d: F.Column, style: F.Column) -> F.Column:
 
 def text_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lease record per order, values as text.  Customers and nations are small dimensions; the planner broadcasts them by size."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = dealt_out(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
