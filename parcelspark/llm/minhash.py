@@ -12,14 +12,18 @@ Steps, none of which brings rows of documents together beyond a bounded block:
 2. Bands of the signature put nodes into buckets.  The number of rows of a band
    is the largest with a chance under ``MISS`` of losing a pair at the
    threshold.
-3. In each bucket two pivots stand against the other members (rows grow with
-   the members, not with their pairs).  Of its pivots, a node is checked
-   against the two of the closest signatures, on the full shingle sets.
-   Components of the confirmed links follow.
+3. Each bucket has two pivots.  A node is held against those of its two
+   largest buckets (rows grow with the nodes, not with their pairs), and
+   checked against the two of the closest signatures on the full shingle sets.
+   Nodes that still stand apart from pivots of their other buckets are held
+   against those too.  Components of the confirmed links follow.
 4. Buckets that still hold several components are compared across components,
-   in blocks of ``BLOCK`` members, by signature; each pair within six standard
-   deviations of the threshold is checked on its full sets.  Pairs within a
-   component need no check, so every link between components is found.
+   in blocks of ``BLOCK`` members, each pair in the first bucket that it shares:
+   by signature, and then by a finer sketch that only these nodes get (32-bit
+   shingle hashes of sets up to ``SMALL``, ``WIDE`` coordinates of larger ones).
+   Every pair that both allow (but for a chance under ``MISS``) is checked on
+   its full sets.  Pairs within a component need no check, so every link
+   between components is found.
 
 Rows: a text without words, null or not, has no shingles and is linked with
 nothing.  Repeated rows are members of one class and come back as often as
@@ -45,6 +49,8 @@ BINS = 1 << 20
 COORDINATES = 192
 MISS = 1e-6
 BLOCK = 1500
+WIDE = 1024
+SMALL = 300
 SEED = 20_011
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -65,15 +71,17 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.Generator(np.random.PCG64(SEED))
         spread = rng.permutation(BINS).astype(np.int64)
         shifted = rng.permutation(BINS).astype(np.uint32)
-        around = np.concatenate([shifted, shifted[: COORDINATES - 1]])
-        _TABLES[SEED] = spread, np.lib.stride_tricks.sliding_window_view(around, COORDINATES)
+        around = np.concatenate([shifted, shifted[: WIDE - 1]])
+        _TABLES[SEED] = spread, np.lib.stride_tricks.sliding_window_view(around, WIDE)
     return _TABLES[SEED]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """Coordinate k is the least value, under the second permutation shifted by k, over the spread shingles."""
     spread, shifts = permutations()
+    shifts = shifts[:, :coordinates]
     places = np.unique(spread[(shingles % np.uint64(BINS)).astype(np.int64)])
-    out = np.full(COORDINATES, BINS, np.uint32)
+    out = np.full(coordinates, BINS, np.uint32)
     for i in range(0, len(places), 256):
         np.minimum(out, shifts[places[i : i + 256]].min(axis=0), out=out)
     return out
@@ -135,25 +143,51 @@ def _with_low(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _map_arrow(joined, count, "a long, b long, n_a long, n_b long, agree int")
 
 
-def _plausible(percent: int) -> int:
+def _plausible(percent: int, coordinates: int = COORDINATES) -> int:
+    """Equal coordinates that a pair at the threshold has but for a chance under ``MISS``: 4.8 standard deviations less."""
     t = percent / 100
-    return math.floor((t - 6 * math.sqrt(t * (1 - t) / COORDINATES)) * COORDINATES)
+    return math.floor((t - 4.8 * math.sqrt(t * (1 - t) / coordinates)) * coordinates)
 
 
 def _close_sizes(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets reach the threshold; written."""
-    pairs = pairs.select("a", "b")
-    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "rep_id", "rep_key")
-    needed = cut(needed)
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of a row that stands for each wanted node; repeated rows give it more than once."""
+    needed = cut(nodes.join(wanted.select("node").distinct(), "node").select("node", "rep_id", "rep_key"))
     if needed.count() <= BROADCAST_KEYS:
         needed = F.broadcast(needed)
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    # Repeated rows would give a node twice: links are made distinct in the end.
-    texts = keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")))
+    return keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
+
+
+def _sketches(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, small, wide`` for the nodes still in question; written.
+
+    ``small``: the low 32 bits of each shingle hash, for sets up to ``SMALL``.
+    ``wide``: low bytes of ``WIDE`` coordinates, for sets that can meet larger ones.
+    """
+
+    def make():
+        def step(node, text):
+            small, wide = [], []
+            for t in text:
+                found = shingle_set(t, words)
+                small.append(np.unique(found.astype(np.uint32)).tobytes() if len(found) <= SMALL else None)
+                wide.append((signature(found, WIDE) & 0xFF).astype(np.uint8).tobytes() if 100 * len(found) > percent * SMALL else None)
+            return {"node": node, "small": small, "wide": wide}
+
+        return step
+
+    found = map_texts(_texts(labelled, nodes, docs), ["node", "text"], make, "node long, small binary, wide binary")
+    return cut(found.dropDuplicates(["node"]))
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets reach the threshold; written."""
+    pairs = pairs.select("a", "b")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
 
     def make():
         return lambda node, text: {"node": node, "shingles": [shingle_set(t, words).tobytes() for t in text]}
@@ -202,27 +236,42 @@ def components(links: DataFrame) -> DataFrame:
         )
 
 
-def _pivot_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """For each node, its two closest pivots among all its buckets."""
+def _closest(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (pivot ``a``, node ``b``), each node's two with the closest signatures; written."""
     from pyspark.sql import Window
 
-    pairs = (
-        members.select("node", F.explode(F.array("pivot_1", "pivot_2")).alias("pivot"))
-        .where("node <> pivot")
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    scored = _with_low(pairs, nodes).where(_close_sizes(percent) & (F.col("agree") >= _plausible(percent)))
+    scored = _with_low(pairs.where("a <> b").distinct(), nodes).where(_close_sizes(percent) & (F.col("agree") >= _plausible(percent)))
     order = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
     best = scored.withColumn("place", F.row_number().over(order)).where("place <= 2")
     return cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Nodes with the pivots of their two largest buckets.  A node is in one bucket per band at most."""
+    own = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "bucket", "pivot_1", "pivot_2")), asc=False).alias("buckets"))
+    two = own.select("node", F.explode(F.slice("buckets", 1, 2)).alias("x"))
+    return two.select(F.explode(F.array("x.pivot_1", "x.pivot_2")).alias("a"), F.col("node").alias("b"))
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their components; written."""
+    rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = cut(rows)
+    still = rows.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp <> high_comp")
+    return cut(rows.join(still.select("bucket"), "bucket"))
+
+
+def _second_pairs(labelled: DataFrame) -> DataFrame:
+    """Nodes with the pivots of their buckets that belong to other components."""
+    comps = labelled.select(F.col("node").alias("a"), F.col("comp").alias("pivot_comp")).distinct()
+    out = labelled.select(F.explode(F.array("pivot_1", "pivot_2")).alias("a"), F.col("node").alias("b"), "comp").distinct()
+    return out.join(comps, "a").where("comp <> pivot_comp").select("a", "b")
+
+
+def _cross_pairs(labelled: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All plausible pairs of different components within a bucket; written."""
-    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = cut(labelled)
-    still = labelled.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"), F.count("*").alias("size")).where("low_comp <> high_comp")
+    still = labelled.groupBy("bucket").agg(F.count("*").alias("size"))
+    labelled = labelled.select("bucket", "node", "comp")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
@@ -231,17 +280,29 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percen
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low_block", F.least("mine", "other"))
         .withColumn("high_block", F.greatest("mine", "other"))
-        .join(nodes.select("node", "low", "n"), "node")
+        .join(nodes.select("node", "low", "n", "bands"), "node")
+        .join(sketches, "node")
     )
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "low_block", "high_block"]
-    dealt = dealt.select(*order, "mine", "node", "comp", "n", "low").repartition(n, *order).sortWithinPartitions(*order)
-    least = _plausible(percent)
+    dealt = dealt.select(*order, "mine", "node", "comp", "n", "low", "bands", "small", "wide").repartition(n, *order).sortWithinPartitions(*order)
+    least, wide_least = _plausible(percent), _plausible(percent, WIDE)
+
+    def allowed(a, b) -> bool:
+        """Whether the finer sketches allow the threshold; hashes that collide in 32 bits could hide two shingles."""
+        if a["small"] is not None and b["small"] is not None:
+            x, y = (np.frombuffer(r["small"], np.uint32) for r in (a, b))
+            shared = len(np.intersect1d(x, y, assume_unique=True)) + 2
+            return 100 * shared >= percent * (len(x) + len(y) - shared)
+        x, y = (np.frombuffer(r["wide"], np.uint8) for r in (a, b))
+        return int((x == y).sum()) >= wide_least
 
     def compare(rows):
         """Plausible pairs of one block pair: members of all but the largest component against the rest."""
         node, comp, size, mine = (np.array([r[k] for r in rows], np.int64) for k in ("node", "comp", "n", "mine"))
         low = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(-1, COORDINATES)
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        band = int((bands[0] == rows[0]["bucket"]).argmax())
         comps, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
         largest = counts.argmax()
         across = rows[0]["low_block"] != rows[0]["high_block"]
@@ -252,8 +313,10 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percen
                 other &= mine != mine[i]
             at = np.flatnonzero(other)
             at = at[(low[at] == low[i]).sum(axis=1) >= least]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
             for j in at:
-                yield min(node[i], node[j]), max(node[i], node[j])
+                if allowed(rows[i], rows[j]):
+                    yield min(node[i], node[j]), max(node[i], node[j])
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -304,12 +367,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         )
         .where("size > 1")
     )
-    members = cut(placed.join(buckets, "bucket").select("bucket", "node", "pivot_1", "pivot_2"))
-    links = _confirm(_pivot_pairs(members, nodes, percent), nodes, docs, words, percent)
+    members = cut(placed.join(buckets, "bucket").select("bucket", "node", "size", "pivot_1", "pivot_2"))
+    links = _confirm(_closest(_first_pairs(members), nodes, percent), nodes, docs, words, percent)
     labels = components(links)
-    more = _confirm(_cross_pairs(members, nodes, labels, percent), nodes, docs, words, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    labelled = _labelled(members, labels)
+    second = _confirm(_closest(_second_pairs(labelled), nodes, percent), nodes, docs, words, percent)
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        labels = components(links)
+        labelled = _labelled(labelled.drop("comp"), labels)
+    sketches = _sketches(labelled, nodes, docs, words, percent)
+    last = _confirm(_cross_pairs(labelled, nodes, sketches, percent), nodes, docs, words, percent)
+    if not last.isEmpty():
+        labels = components(links.unionByName(last))
     marked = nodes.select("digest", "node", "rep_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Single nodes keep their own smallest id; only nodes with links meet in a group.
     smallest = marked.join(labels.select(F.col("comp").alias("c")).distinct(), marked["comp"] == F.col("c"), "left_semi").groupBy("comp").agg(F.min("rep_id").alias("least_id"))
