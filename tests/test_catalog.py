@@ -22,7 +22,7 @@ def duck(small):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+    if np.isscalar(x) and pd.isna(x) or x is None or x is pd.NA or x is pd.NaT:
         return "null"
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
