@@ -1,10 +1,10 @@
 """Operator 5: main text of web pages by consensus host paths.
 
-Each page's containers are scored by the running text they hold, less its
-links.  A container is known by its generalised path: tags with their classes,
+Each page votes for the lowest container that holds its running text, links left
+aside.  A container is known by its generalised path: tags with their classes,
 digits replaced.  Spark adds up the pages' votes for each path of a host; then
 every page is read again and gives the blocks under the winning path of its
-host that it has (its own best container where it has none).  A page whose
+host that it has (its own vote where it has none).  A page whose
 template is broken or short so follows its host.
 
 Boilerplate (menus, headers outside an article, footers, sidebars, notices,
@@ -45,6 +45,11 @@ DROPPED_WORDS = frozenset(
     "comment comments reply replies respond disqus share sharing social related recommended recommendations widget pagination pager skip hidden".split()
 )
 KEPT_AS_HEADER = frozenset(["article", "main", "section"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of an article that no page votes for.
+PARTS = frozenset("ul ol dl blockquote figure details".split())
+#: Least share of a page's running text that keeps a container beside the one with the rest.
+BESIDE = 0.1
 SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -67,12 +72,17 @@ def _dropped(tag: str, attrs: dict[str, str], above: list[str]) -> bool:
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
     classes = sorted(set(re.sub(r"\d+", "0", attrs.get("class", "")).split()))
-    return ".".join([tag, *classes])
+    return ".".join([tag, *classes]).replace(">", "~")
 
 
 def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """Blocks in page order: container path, text, and how much of the text is links."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    return [b[:3] for b in _blocks(html)]
+
+
+def _blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
+    """The same, and whether the block is a heading."""
+    out: list[tuple[tuple[str, ...], str, int, bool]] = []
     stack: list[tuple[str, str | None, bool]] = []  # tag, path step of a container, dropped
     text: list[str] = []
     linked = depth_dropped = links = 0
@@ -82,7 +92,7 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append((("page", *(s for _, s, _ in stack if s)), joined, min(linked, len(joined))))
+                out.append((("page", *(s for _, s, _ in stack if s)), joined, min(linked, len(joined)), any(t in HEADINGS for t, _, _ in stack)))
             text.clear()
         linked = 0
 
@@ -142,22 +152,43 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-def container_scores(blocks) -> dict[str, float]:
-    """Running text of each container path; what a container holds counts half as much for the next one out."""
-    scores: dict[str, float] = {}
-    for path, text, linked in blocks:
-        plain = len(text) - linked
-        weight = plain * (1.0 if len(text) >= 25 else 0.5)
-        for up in range(len(path)):
-            if weight * 0.5**up < 0.5:
-                break
-            at = ">".join(path[: len(path) - up])
-            scores[at] = scores.get(at, 0.0) + weight * 0.5**up
-    return scores
-
+def main_path(blocks) -> str | None:
+    """The lowest container that holds all running text of a page (blocks that are not mostly links).
 
-def best_container(scores: dict[str, float]) -> str | None:
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
+    Within an article or main element it is that element, so that titles, leads
+    and sections beside a body container stay.  Elsewhere a child stands for its
+    parent if the parent has no text or heading outside it but other containers
+    with less than ``BESIDE`` of the page's running text.
+    """
+    running = [(b[0], len(b[1]) - b[2], b[3]) for b in blocks if 2 * b[2] <= len(b[1])]
+    if not running:
+        running = [(b[0], len(b[1]), b[3]) for b in blocks if _article(b[0])]
+    if not running:
+        return None
+    total = sum(n for _, n, _ in running)
+    while True:
+        low, high = min(p for p, _, _ in running), max(p for p, _, _ in running)
+        depth = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        path = low[:depth]
+        if at := _article(path):
+            return ">".join(path[:at])
+        if any(len(p) == depth for p, _, _ in running):
+            break
+        inside: dict[str, int] = {}
+        for p, n, _ in running:
+            inside[p[depth]] = inside.get(p[depth], 0) + n
+        child = max(inside, key=lambda c: (inside[c], c))
+        if total - inside[child] >= BESIDE * total or any(heading and p[depth] != child for p, _, heading in running):
+            break
+        running = [r for r in running if r[0][depth] == child]
+    while len(path) > 1 and path[-1].split(".", 1)[0] in PARTS:
+        path = path[:-1]
+    return ">".join(path)
+
+
+def _article(path) -> int:
+    """How many steps lead to the innermost article or main element of ``path``; 0 where there is none."""
+    return next((i for i in range(len(path), 0, -1) if path[i - 1].split(".", 1)[0] in ("article", "main")), 0)
 
 
 def text_under(blocks, path: str | None) -> str | None:
@@ -165,7 +196,7 @@ def text_under(blocks, path: str | None) -> str | None:
     if path is None:
         return None
     steps = tuple(path.split(">"))
-    inside = [text for at, text, _ in blocks if at[: len(steps)] == steps]
+    inside = [b[1] for b in blocks if b[0][: len(steps)] == steps]
     return "\n\n".join(inside) if inside else None
 
 
@@ -174,30 +205,23 @@ def _host(url: str) -> F.Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, paths``: each host's container paths, most votes first.
+    """``host, paths``: each host's container paths, most votes first; of equal ones the outer.
 
-    A page votes with each container's share of its score, so votes are summed
-    before they are dealt out, and a host with many pages is no heavier than another.
+    A page has one vote, for the container that holds its running text.
     """
 
     def make():
         def step(host, html):
-            out = {"host": [], "path": [], "share": [], "won": []}
-            for h, page in zip(host, html):
-                scores = container_scores(blocks_of(page))
-                best, total = best_container(scores), sum(scores.values())
-                for path, score in scores.items():
-                    for k, v in zip(out, (h, path, score / total, int(path == best))):
-                        out[k].append(v)
-            return out
+            votes = [(h, p) for h, p in zip(host, (main_path(_blocks(x)) for x in html)) if p is not None]
+            return {"host": [h for h, _ in votes], "path": [p for _, p in votes]}
 
         return step
 
-    votes = map_texts(pages.select(_host("url").alias("host"), "html"), ["host", "html"], make, "host string, path string, share double, won long")
-    totals = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"), F.sum("won").alias("won"))
-    order = Window.partitionBy("host").orderBy(F.desc("won"), F.desc("votes"), "path")
-    # A path stays if it was the best of some page; a page takes the first that it has.
-    ranked = totals.where("won > 0").withColumn("place", F.row_number().over(order))
+    votes = map_texts(pages.select(_host("url").alias("host"), "html"), ["host", "html"], make, "host string, path string")
+    totals = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
+    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.size(F.split("path", ">")), "path")
+    # A page takes the first path that it has.
+    ranked = totals.withColumn("place", F.row_number().over(order))
     return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
@@ -210,11 +234,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def make():
         def one(html, paths):
-            blocks = blocks_of(html)
+            blocks = _blocks(html)
             for path in paths or ():
                 if (text := text_under(blocks, path)) is not None:
                     return text, path
-            own = best_container(container_scores(blocks))
+            own = main_path(blocks)
             return text_under(blocks, own) or "", own
 
         def step(page, url, html, paths):

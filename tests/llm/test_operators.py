@@ -204,6 +204,18 @@ def test_pages_consensus(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_whole_articles(spark):
+    long = "A sentence of running text that is long enough to count. " * 12
+    lead = f"<main><h1>Title</h1><p class=lead>Lead.</p><div class='content [&>p]:mt-1'><p>{long}</p></div></main>"
+    parts = f"<article><h1>Title</h1><p>Intro.</p><section><p>{long}</p></section><section class=b><p>Second.</p></section></article>"
+    titled = f"<div class=w><div class=t><h1>Title</h1></div><div class=content><p>{long}</p></div></div>"
+    rows = [(i, f"http://{h}.example/{i}", f"<body>{x}</body>") for h, x in (("a", lead), ("b", parts), ("c", titled)) for i in range(3)]
+    rows += [(9, "http://d.example", f"<body><div class=post><p>Prose.</p><ul><li>{long}</ul></div></body>"), (10, "http://e.example", f"<body><div><p>Prose.</p><table><tr><td>{long}</table></div></body>"), (11, "http://f.example", f"<body><div><p>Prose.</p><blockquote>{long}</blockquote></div></body>")]
+    got = [(r.url[7], r.text.replace(long.strip(), "long").split("\n\n")) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    want = {"a": ["Title", "Lead.", "long"], "b": ["Title", "Intro.", "long", "Second."], "c": ["Title", "long"]} | {h: ["Prose.", "long"] for h in "def"}
+    assert len(got) == len(rows) and all(text == want[h] for h, text in got)
+
+
 def test_boilerplate():
     page = """<html><body><header><h1>Site</h1></header><div id="main-nav">x</div><article><header><h2>Title &amp; co</h2></header><p>First <b>bold</b>&nbsp;text.<p>Second<ul><li>one<li>two</ul>
     <div class="share-buttons">Share</div><form><p>form</p></form></article><section class="comments"><p>A reader says a lot here, on and on.</p></section><aside>side</aside><script>var x="<p>no</p>"</script><div class="cookie-notice">We use</div></body></html>"""
