@@ -9,7 +9,8 @@ template is broken or short so follows its host.
 
 Boilerplate (menus, headers outside an article, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) is known by tag, role, and
-words of class or id, and is left out under any path.
+words of class or id, and is left out under any path, but for elements that
+hold the page's article or most of its running text (see ``_judge``).
 
 Rows: null or empty html gives an empty text; a null url counts as one host;
 one row per input row, repeated rows included; only ``page_id``, ``url`` and
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import BROADCAST_KEYS, cut, map_texts
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
+#: Elements without text of the page; what the raw ones hold is no markup.
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas textarea select".split())
+RAW = frozenset("script style noscript iframe textarea".split())
+SKIP_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SKIPPED))})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div article section main aside nav header footer form td th table tbody tr ul ol dl blockquote figure center fieldset dialog details".split())
@@ -38,6 +42,7 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address fig
 #: An open element of these ends where one of its kind, or what holds it, begins or ends.
 SELF_CLOSING = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 DROPPED_TAGS = frozenset("head nav footer aside form button label menu dialog title fieldset".split())
+HEAD = frozenset(["head", "title"])
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead topbar toolbar banner ad ads advert adverts advertisement advertising "
@@ -50,6 +55,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("ul ol dl blockquote figure details".split())
 #: Least share of a page's running text that keeps a container beside the one with the rest.
 BESIDE = 0.1
+#: Class names that tell of the layout or state of an element, not of what it is.
+STATE = re.compile(r"(?:has|no|not|with|without|is)[-_].*|.*[-_](?:open|closed|enabled|disabled|fixed)", re.I)
 SPLIT_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -66,7 +73,8 @@ def _dropped(tag: str, attrs: dict[str, str], above: list[str]) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    words = {w.lower() for w in SPLIT_WORDS.split(f"{attrs.get('class', '')} {attrs.get('id', '')}") if w}
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    words = {w.lower() for w in SPLIT_WORDS.split(" ".join(n for n in names if not STATE.fullmatch(n))) if w}
     return bool(words & DROPPED_WORDS) or ("header" in words and not KEPT_AS_HEADER.intersection(above))
 
 
@@ -80,75 +88,192 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return [b[:3] for b in _blocks(html)]
 
 
+def _skip_ends(html: str) -> dict[int, int]:
+    """Start of each skipped element that is closed -> its end; unclosed ones are absent."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    for m in SKIP_TAG.finditer(html):
+        tag = m[2].lower()
+        if not m[1]:
+            if tag in ("svg", "math") and m[0].endswith("/>"):
+                ends[m.start()] = m.end()
+            else:
+                open_at.setdefault(tag, []).append(m.start())
+        elif starts := open_at.get(tag):
+            # A raw element ends at the first end tag after it, others pair up.
+            ends[starts[0] if tag in RAW else starts[-1]] = m.end()
+            if tag in RAW:
+                starts.clear()
+            else:
+                starts.pop()
+    return ends
+
+
+def _tokens(html: str):
+    """Matches of ``TOKEN`` outside skipped elements; of an unclosed one only the start tag goes."""
+    ends, at = _skip_ends(html), 0
+    while at < len(html):
+        m = TOKEN.match(html, at)
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in SKIPPED:
+            if not m[1]:
+                at = max(at, ends.get(m.start(), at))
+                if tag in ("script", "style") and m.start() not in ends:
+                    at = html.find("<", at) if html.find("<", at) >= 0 else len(html)
+            continue
+        yield m
+
+
+class _Dropped:
+    """An element that looks like boilerplate, and what it holds."""
+
+    __slots__ = ("above", "articles", "goes", "heading", "main", "n")
+
+    def __init__(self, above: _Dropped | None):
+        self.above, self.n, self.articles, self.main, self.heading, self.goes = above, 0, 0, False, False, True
+
+    def chain(self):
+        at = self
+        while at:
+            yield at
+            at = at.above
+
+    def gone(self) -> bool:
+        return any(d.goes for d in self.chain())
+
+
+def _judge(dropped: list[_Dropped], articles: list[tuple[_Dropped | None, list[int]]], headings: list[_Dropped | None], total: int) -> None:
+    """Elements that hold the page's article stay, and what they hold is judged by itself.
+
+    An element stays if a main element is inside; if no article is left on the page
+    without it, and it holds most of the running text, or the longest article, longer
+    than all that stays; or if it
+    holds most of the running text and the first-level heading, which else would go.
+    """
+    longest = max(articles, key=lambda x: x[1][0], default=None)
+
+    def left() -> tuple[int, int, int]:
+        """Articles, first-level headings and running text that stay as things are."""
+        outer = sum(d.n for d in dropped if d.goes and not (d.above and d.above.gone()))
+        return sum(not (d and d.gone()) for d, _ in articles), sum(not (d and d.gone()) for d in headings), total - outer
+
+    free, titles, rest = left()
+    for d in dropped:
+        if d.above and d.above.gone():
+            continue
+        most = 2 * d.n > total
+        if d.main or (not free and (most or (d.articles and longest[1][0] > rest and longest[0] and d in longest[0].chain()))) or (most and d.heading and not titles):
+            d.goes = False
+            free, titles, rest = left()
+
+
 def _blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """The same, and whether the block is a heading."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, path step of a container, dropped
-    text: list[str] = []
-    linked = depth_dropped = links = 0
+    found: list[tuple[tuple[str, ...], list[tuple[str, bool, _Dropped | None]], bool]] = []
+    stack: list[tuple[str, str | None, _Dropped | None]] = []  # tag, path step of a container, innermost element that looks like boilerplate
+    dropped: list[_Dropped] = []
+    articles: list[tuple[_Dropped | None, list[int]]] = []
+    headings: list[_Dropped | None] = []
+    open_articles: list[tuple[int, list[int]]] = []
+    text: list[tuple[str, bool, _Dropped | None]] = []
+    links = total = 0
 
     def end_block():
-        nonlocal linked
+        nonlocal total
         if text:
-            joined = " ".join(unescape("".join(text)).split())
-            if joined:
-                out.append((("page", *(s for _, s, _ in stack if s)), joined, min(linked, len(joined)), any(t in HEADINGS for t, _, _ in stack)))
+            found.append((("page", *(s for _, s, _ in stack if s)), text.copy(), any(t in HEADINGS for t, _, _ in stack)))
+            for piece, linked, d in text:
+                if not linked and (n := len(" ".join(piece.split()))):
+                    total += n
+                    for _, sizes in open_articles:
+                        sizes[0] += n
+                    while d:
+                        d.n += n
+                        d = d.above
             text.clear()
-        linked = 0
 
     def close(to: int):
-        nonlocal depth_dropped
         while len(stack) > to:
             if stack[-1][0] in BLOCKS:
                 end_block()
-            depth_dropped -= stack.pop()[2]
+            stack.pop()
+            while open_articles and open_articles[-1][0] >= len(stack):
+                open_articles.pop()
+
+    def inner() -> _Dropped | None:
+        return stack[-1][2] if stack else None
+
+    def drop_here() -> _Dropped:
+        dropped.append(_Dropped(inner()))
+        return dropped[-1]
+
+    def in_head() -> bool:
+        return any(t in HEAD for t, _, _ in stack)
 
-    for m in TOKEN.finditer(html or ""):
-        tag = m[3]
+    for m in _tokens(html or ""):
+        tag = m[2]
         if tag is None:
             piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not depth_dropped:
-                    text.append(piece)
-                    if links:
-                        linked += len(piece)
-            elif piece[:9] == "<![CDATA[" and not depth_dropped:
-                text.append(piece[9:-3])
+            if piece[:9] == "<![CDATA[":
+                piece = piece[9:-3]
+            elif piece[0] == "<" and piece != "<":
+                continue
+            if not in_head():
+                text.append((piece, bool(links), inner()))
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[1] else 1
             continue
         if tag == "br" or tag == "wbr":
-            if not depth_dropped and tag == "br":
-                text.append(" ")
+            if tag == "br":
+                text.append((" ", False, inner()))
             continue
         if tag not in BLOCKS and tag not in DROPPED_TAGS:
-            if not m[2] and tag not in VOID and m[4] and not m[4].endswith("/"):
-                attrs = _attributes(m[4])
+            if not m[1] and tag not in VOID and m[3] and not m[3].endswith("/"):
+                attrs = _attributes(m[3])
                 if _dropped(tag, attrs, [t for t, _, _ in stack]):
-                    stack.append((tag, None, True))
-                    depth_dropped += 1
-            elif m[2] and any(t == tag for t, _, _ in stack):
+                    stack.append((tag, None, drop_here()))
+            elif m[1] and any(t == tag for t, _, _ in stack):
                 close(max(i for i, s in enumerate(stack) if s[0] == tag))
             continue
-        if m[2]:
+        if m[1]:
             at = max((i for i, s in enumerate(stack) if s[0] == tag), default=None)
             if at is None:
                 end_block()
             else:
                 close(at)
             continue
+        if tag not in HEAD and in_head():  # an unclosed head ends where the body begins
+            close(min(i for i, s in enumerate(stack) if s[0] in HEAD))
         if stack and tag in SELF_CLOSING.get(stack[-1][0], ()):
             close(len(stack) - 1)
         end_block()
         if tag in VOID:
             continue
-        attrs = _attributes(m[4])
-        drop = _dropped(tag, attrs, [t for t, _, _ in stack])
-        stack.append((tag, _step(tag, attrs) if tag in CONTAINERS else None, drop))
-        depth_dropped += drop
+        attrs = _attributes(m[3])
+        above = inner()
+        here = drop_here() if tag not in HEAD and _dropped(tag, attrs, [t for t, _, _ in stack]) else above
+        stack.append((tag, _step(tag, attrs) if tag in CONTAINERS else None, here))
+        if tag in ("article", "main"):
+            articles.append((here, sizes := [0]))
+            open_articles.append((len(stack) - 1, sizes))
+            for d in here.chain() if here else ():
+                d.articles += 1
+                d.main |= tag == "main"
+        elif tag == "h1":
+            headings.append(here)
+            for d in here.chain() if here else ():
+                d.heading = True
     end_block()
+    _judge(dropped, articles, headings, total)
+    gone = {id(d): d.gone() for d in dropped}
+    out = []
+    for path, pieces, heading in found:
+        kept = [(piece, linked) for piece, linked, d in pieces if d is None or not gone[id(d)]]
+        if joined := " ".join(unescape("".join(p for p, _ in kept)).split()):
+            out.append((path, joined, min(sum(len(p) for p, linked in kept if linked), len(joined)), heading))
     return out
 
 

@@ -222,6 +222,21 @@ def test_boilerplate():
     assert [t for _, t, _ in html_text.blocks_of(page)] == ["Title & co", "First bold text.", "Second", "one", "two"]
 
 
+def test_boilerplate_around_the_article():
+    article = "<h1>Title</h1><p>" + "A sentence of running text. " * 9 + "</p>"
+    want = [t for _, t, _ in html_text.blocks_of(article)]
+    aside = "<div class='sidebar'><p>An aside.</p></div><div class='comments'><article><p>A reader.</p></article></div>"
+    for name in ("layout has-sidebar", "no-sidebar", "header-fixed", "comments-open", "social-studies", "sidebar-layout"):
+        for inside in (article, f"<article>{article}</article>", f"<main>{article}</main>"):
+            page = f"<body><div class='{name}'>{inside}{aside}</div><footer>Foot</footer></body>"
+            assert [t for _, t, _ in html_text.blocks_of(page)] == want, page
+    assert [t for _, t, _ in html_text.blocks_of(f"<body><form id=aspnet><nav>x</nav><div>{article}</div></form></body>")] == want
+    for mark in ("<svg class=i />", "<math/>", "<select><option>", "<object data=x>", "<noscript>", "<svg/><svg><text>no</text></svg>", "<head><title>t</title>"):
+        assert [t for _, t, _ in html_text.blocks_of(f"{mark}<div>{article}</div><svg><text>no</text></svg>")] == want, mark
+    short = "<article><p>Short.</p></article><div class='ad'><p>An advert that is longer than the article is.</p></div><section class='comments'><article><p>Readers say more than the article does.</p></article></section>"
+    assert [t for _, t, _ in html_text.blocks_of(short)] == ["Short."]
+
+
 # --- 6, 9, 10 ------------------------------------------------------------------------------------
 
 
