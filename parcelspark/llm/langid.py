@@ -42,6 +42,8 @@ SUFFIX_WEIGHT = 50.0
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b < 0x80 else b for b in range(256))
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+#: What may hold markup that is none of the page's.
+HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']\s*([A-Za-z]{2,3})\b", re.I)
 
 
@@ -117,7 +119,7 @@ def fuse(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         def one(raw, is_html):
             declared = None
             if is_html and raw:
-                m = DECLARED.search(raw[:4096])
+                m = DECLARED.search(HIDDEN.sub(" ", raw))
                 declared = (m[1] or m[2]).lower() if m else None
                 raw = html_entities.unescape(MARKUP.sub(" ", raw))
             codes = trigrams(raw)
