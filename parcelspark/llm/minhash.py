@@ -341,12 +341,14 @@ def _cross_pairs(labelled: DataFrame, nodes: DataFrame, sketches: DataFrame, per
     return cut(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, survivors: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
 
     Links join documents whose sets of ``words``-word shingles have a Jaccard
     similarity of ``percent`` / 100 or more.  ``text_key`` (xxhash64 of the text)
-    comes too, for callers that pick one row of a group.
+    comes too, for callers that pick one row of a group; with ``survivors`` also
+    ``survivor``, true for the one ``(doc_id, text_key)`` that stands for its group,
+    whether its ids are null, repeated or neither.
     """
     signed = cut(_signed(docs, words, band_rows(percent / 100)))
     grouped = signed.where("n > 0").groupBy("digest").agg(
@@ -380,25 +382,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     last = _confirm(_cross_pairs(labelled, nodes, sketches, percent), nodes, docs, words, percent)
     if not last.isEmpty():
         labels = components(links.unionByName(last))
-    marked = nodes.select("digest", "node", "rep_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = nodes.select("digest", "node", "rep_id", *(["rep_key"] if survivors else [])).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_key")
     # Single nodes keep their own smallest id; only nodes with links meet in a group.
-    smallest = marked.join(labels.select(F.col("comp").alias("c")).distinct(), marked["comp"] == F.col("c"), "left_semi").groupBy("comp").agg(F.min("rep_id").alias("least_id"))
-    ids = marked.join(smallest, "comp", "left").select("digest", F.coalesce("least_id", "rep_id").alias("component"))
+    smallest = marked.join(labels.select(F.col("comp").alias("c")).distinct(), marked["comp"] == F.col("c"), "left_semi").groupBy("comp").agg(F.min("rep_id").alias("least_id"), *([F.min(first).alias("first")] if survivors else []))
+    ids = marked.join(smallest, "comp", "left").select("digest", F.coalesce("least_id", "rep_id").alias("component"), *([F.coalesce("first", first).alias("first")] if survivors else []))
+    survivor = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.rep_id")) & (F.col("text_key") == F.col("first.rep_key")))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return (
         signed.select("doc_id", "text_key", "n", "digest")
         .join(cut(ids), "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", *([survivor.alias("survivor")] if survivors else []))
     )
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each near-duplicate group, all columns as they are.
 
-    It is the row of the component's smallest id; of rows that repeat that id
-    with one text, the first.
+    It is the row of the group's smallest id, of the smallest text key among
+    several texts of that id or where all ids are null; of rows that repeat id
+    and text, the first.
     """
-    found = cut(near_duplicates(docs, words, percent).select("doc_id", "text_key", "kept"))
+    found = cut(near_duplicates(docs, words, percent, survivors=True).select("doc_id", "text_key", F.col("survivor").alias("kept")))
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key"))
     kept = without(docs, key, found.where("NOT kept").select(F.struct("doc_id", "text_key")))
     repeated = cut(found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(F.struct("doc_id", "text_key").alias("row")))
