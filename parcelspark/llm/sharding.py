@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parcelspark.llm.common import bytes_of, cut, small_batches
 
@@ -112,17 +113,27 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     The directory is sent to the tasks: its leaves are at most a few times
     total bytes / limit.
     """
+    sized = cut(_sized(docs, F.col("doc_id")))
+    return _placed(sized, limit)
+
+
+def _sized(docs: DataFrame, *more) -> DataFrame:
+    """``more``, and ``n_bytes, h0, h1``; to be written, which freezes ``h1``."""
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    sized = docs.select("doc_id", bytes_of("text").alias("n_bytes"), own.alias("h0"), F.monotonically_increasing_id().alias("row"))
-    sized = cut(sized.withColumn("h1", F.xxhash64("row", F.lit("row"))).drop("row"))
-    leaves = build_directory(sized, limit)
+    sized = docs.select(*more, bytes_of("text").alias("n_bytes"), own.alias("h0"), F.monotonically_increasing_id().alias("row"))
+    return sized.withColumn("h1", F.xxhash64("row", F.lit("row"))).drop("row")
+
+
+def _placed(sized: DataFrame, limit: int) -> DataFrame:
+    """The columns of ``sized`` but for its hashes, with each row's shard."""
+    leaves = build_directory(sized.select("h0", "h1", "n_bytes"), limit)
     found = sorted((p << (BITS - d), d, p, *v) for (d, p), v in leaves.items())
     high = np.array([s >> 64 for s, *_ in found], np.uint64)
     low = [s & ((1 << 64) - 1) for s, *_ in found]
     names = [format(p, f"0{d}b") if d else "-" for _, d, p, _, _ in found]
-    sent = docs.sparkSession.sparkContext.broadcast((high, low, names, [x[1:] for x in found], limit))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
+    sent = sized.sparkSession.sparkContext.broadcast((high, low, names, [x[1:] for x in found], limit))
+    own = [c for c in sized.columns if c not in ("h0", "h1")]
+    small_batches(sized.sparkSession)
 
     def run(batches):
         high, low, names, about, limit = sent.value
@@ -139,28 +150,28 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
             info = [about[a] for a in at]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("n_bytes"),
+                    *[batch.column(c) for c in own],
                     pa.array([names[a] for a in at], pa.string()),
                     pa.array([x[0] for x in info], pa.int32()),
                     pa.array([x[2] for x in info], pa.int64()),
                     pa.array([x[3] for x in info], pa.int64()),
                     pa.array([x[2] > limit for x in info], pa.bool_()),
                 ],
-                names=["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "over_limit"],
+                names=[*own, "shard", "depth", "shard_bytes", "shard_docs", "over_limit"],
             )
 
-    return sized.mapInArrow(run, f"doc_id {kind}, n_bytes long, shard string, depth int, shard_bytes long, shard_docs long, over_limit boolean")
+    found_in = StructType.fromDDL("shard string, depth int, shard_bytes long, shard_docs long, over_limit boolean")
+    return sized.mapInArrow(run, StructType([*sized.select(*own).schema.fields, *found_in.fields]))
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> DataFrame:
     """Write ``docs`` under ``folder`` with a partition folder per shard; returns the assignment.
 
-    Rows that repeat an id are placed by their first assignment's shard.
+    The rows are written once with their frozen hashes, so each goes to the shard
+    that the assignment gives it, rows of one id or of none included.
     """
-    placed = cut(assign(docs, limit))
-    first = placed.groupBy("doc_id").agg(F.min("shard").alias("shard"))
+    kept = cut(_sized(docs, "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("doc")))
     name = "__shard"
-    rows = docs.join(first.select(F.col("doc_id").alias("__id"), F.col("shard").alias(name)), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    rows.repartition(name).write.partitionBy(name).parquet(folder)
-    return placed
+    placed = cut(_placed(kept, limit))
+    placed.select("doc.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(folder)
+    return placed.drop("doc")
