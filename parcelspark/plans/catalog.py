@@ -510,7 +510,7 @@ def traffic_by_host(spark, sf_dir):
 @query("""SELECT CAST(list_position(t, event_type) AS BIGINT) AS step, event_type AS path, count(DISTINCT user_id) AS sessions FROM events, (SELECT list(DISTINCT event_type ORDER BY event_type) AS t FROM events) WHERE list_position(t, event_type) <= 3 GROUP BY 1, 2""", lease=False)
 def traffic_funnel(spark, sf_dir):
     rows = views(spark, sf_dir)
-    steps = sorted(r.path for r in rows.select("path").distinct().limit(100).collect())[:3]
+    steps = [r.path for r in rows.where("path IS NOT NULL").select("path").distinct().orderBy("path").limit(3).collect()]
     return activity.funnel(rows, steps)
 
 
