@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,17 +28,41 @@ def _admit(times: list[float], held: list[float], most: int, seconds: float) ->
 def admissions(events: DataFrame, most: int = 10, seconds: float = 60.0) -> DataFrame:
     """Sliding-window admissions per user, in batch (V1): an ordered fold, as each depends on earlier ones.
 
-    A user's events come together in order; what is held per user is at most
-    ``most`` times, so the stream form below suits users without bound.
+    A user's events are cut at gaps of ``seconds`` or more, over which nothing is
+    held; the cuts come from the first and last time of each user's slots of that
+    width.  A segment's rows stream past in order, with at most ``most`` times
+    held, however many there are.  A null time is in no window.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        ok, _ = _admit([t.timestamp() for t in pdf["ts"]], [], most, seconds)
-        return pdf.assign(admitted=ok)[["user_id", "event_id", "ts", "admitted"]]
-
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandas(fold, ADMITTED)
+    micros = round(seconds * 1_000_000)
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.withColumn("at", F.unix_micros("ts")).withColumn("slot", F.floor(F.col("at") / F.lit(max(micros, 1))))
+    order = Window.partitionBy("user_id").orderBy("slot")
+    slots = rows.groupBy("user_id", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    cuts = F.coalesce((F.col("first") - F.lag("last").over(order) >= micros).cast("long"), F.lit(1))
+    slots = slots.withColumn("cut", cuts).select(F.col("user_id").alias("u"), F.col("slot").alias("s"), F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    joined = rows.join(slots, F.col("user_id").eqNullSafe(F.col("u")) & F.col("slot").eqNullSafe(F.col("s")))
+    key = ["user_id", "segment"]
+    dealt = joined.select(*key, "event_id", "ts", "at").repartition(*key).sortWithinPartitions(*key, F.asc_nulls_last("at"), F.asc_nulls_last("event_id"))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        of, held = None, deque()
+        for batch in batches:
+            out = []
+            for k in zip(*(batch.column(c).to_pylist() for c in (*key, "at"))):
+                if k[:2] != of:
+                    of, held = k[:2], deque()
+                at = k[2]
+                while held and at is not None and held[0] <= at - micros:
+                    held.popleft()
+                ok = len(held) < most
+                out.append(ok)
+                if ok and at is not None:
+                    held.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("user_id", "event_id", "ts")), pa.array(out, pa.bool_())], names=["user_id", "event_id", "ts", "admitted"])
+
+    return dealt.mapInArrow(fold, ADMITTED)
 
 
 def admissions_stream(events: DataFrame, most: int = 10, seconds: float = 60.0) -> DataFrame:
