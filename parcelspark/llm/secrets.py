@@ -5,7 +5,8 @@ over each candidate string, a window slides by one character, and the window's
 sum of ``c * log2(c)`` over its character counts is kept by looking only at the
 count of the character that enters and of the one that leaves.  The entropy
 ``log2(W) - sum / W`` is held against a threshold per character class.
-Candidates on the allow-list, and spans inside a base span, are suppressed.
+Candidates on the allow-list, windows that touch an allowed sample, and spans
+wholly inside a base span are suppressed.
 
 Rows: a null text counts as empty and gives no spans; one row per input row,
 repeated rows included; positions are code points, ends exclusive; columns
@@ -35,16 +36,16 @@ CLASSES = (
     ("alnum", r"[0-9]", 3.7),
     ("letters", r".", 4.1),
 )
-#: Candidates that are no secrets: identifiers, counting runs, repeats, dates, paths of words, samples.
+#: Candidates that are no secrets as a whole: identifiers, dates, paths of words.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^[0-9_/=+-]+$",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"(.)\1{7}",
-    r"(?i)example|sample|dummy|placeholder|changeme|lorem",
     r"^/?(?:[A-Za-z]+[/_=+-])+[A-Za-z]*[0-9]{0,4}$",
 )
 
+#: Stretches of a candidate that are none: counting runs, samples, repeats.  The rest of it is scanned.
+SAMPLE = r"(?i:0123456789|abcdefghij|qwertyuiop|example|sample|dummy|placeholder|changeme|lorem)|(.)\1{7,}"
+
 SPAN = "array<struct<start:int,end:int,hit:string,value:string>>"
 
 
@@ -71,10 +72,44 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def window_span(candidate: Column) -> Column:
-    """First and last position of the windows of ``candidate`` that reach their class's entropy."""
+def least_entropy(candidate: Column) -> Column:
+    """The threshold of the candidate's class."""
+    return F.coalesce(*[F.when(candidate.rlike(p), F.lit(least)) for _, p, least in CLASSES])
+
+
+def pieces(candidate: Column, pattern: str) -> Column:
+    """``array<struct<at,piece>>``: what lies between the matches of ``pattern``, if it is a window or longer."""
+    zipped = F.arrays_zip(F.split(candidate, pattern, -1).alias("gap"), F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0)).alias("hit"))
+
+    def step(acc, x):
+        one = F.struct(acc["pos"].alias("at"), x["gap"].alias("piece"))
+        end = acc["pos"] + F.char_length(x["gap"]) + F.char_length(F.coalesce(x["hit"], F.lit("")))
+        return F.struct(end.alias("pos"), F.when(F.char_length(x["gap"]) < WINDOW, acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+
+    none = F.array().cast("array<struct<at:int,piece:string>>")
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def stretch(candidate: Column, sample: str = SAMPLE) -> Column:
+    """``first, last`` of the candidate's high-entropy windows that touch no match of ``sample``; ``first`` is -1 if there are none."""
+    least = least_entropy(candidate)
+
+    def step(acc, x):
+        w = window_span(x["piece"], least)
+        found = w["first"] >= 0
+        return F.struct(
+            F.when(found & (acc["first"] < 0), x["at"] + w["first"]).otherwise(acc["first"]).alias("first"),
+            F.when(found, x["at"] + w["last"]).otherwise(acc["last"]).alias("last"),
+        )
+
+    parts = F.aggregate(pieces(candidate, sample), F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")), step)
+    whole = window_span(candidate, least)
+    return F.when(candidate.rlike(sample), parts).otherwise(F.struct(whole["first"].alias("first"), whole["last"].alias("last")))
+
+
+def window_span(candidate: Column, threshold: Column) -> Column:
+    """First and last position of the windows of ``candidate`` that reach the threshold."""
     clog = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)])
-    threshold = F.coalesce(*[F.when(candidate.rlike(p), F.lit(least)) for _, p, least in CLASSES])
     most = (F.lit(math.log2(WINDOW)) - threshold) * WINDOW + F.lit(1e-9)  # a window passes with a sum of this or less
 
     def count(window, letter):
@@ -104,7 +139,7 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     candidates = matches(text, CANDIDATE)
     if allow:
         candidates = F.filter(candidates, lambda x: ~F.lit(False) & ~_any_rlike(x["hit"], allow))
-    scored = F.transform(candidates, lambda x: F.struct(x["start"].alias("at"), window_span(x["hit"]).alias("w")))
+    scored = F.transform(candidates, lambda x: F.struct(x["start"].alias("at"), stretch(x["hit"]).alias("w")))
     kept = F.filter(scored, lambda x: x["w"]["first"] >= 0)
     return F.transform(kept, lambda x: F.struct((x["at"] + x["w"]["first"]).alias("start"), (x["at"] + x["w"]["last"]).alias("end")))
 
@@ -127,7 +162,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
     base, found, both = f"{prefix}base", f"{prefix}found", f"{prefix}all"
     out = docs.withColumn(base, F.array_sort(F.concat(_kind(assign, 0), _kind(matches(text, ACCESS), 1), _kind(matches(text, HEX), 2))))
     out = out.withColumn(found, _kind(entropy_spans(text), 3))
-    new = F.filter(F.col(found), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    new = F.filter(F.col(found), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
     return out.withColumn(both, F.array_sort(F.concat(F.col(base), new))).drop(found)
 
 
