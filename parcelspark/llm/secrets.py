@@ -1,21 +1,25 @@
 """Operator 8: secret scans in built-in expressions only (no Python on the data path).
 
 Base kinds come from three patterns.  The method adds the kind ``entropy``:
-over each candidate string, a window slides by one character, and the window's
-sum of ``c * log2(c)`` over its character counts is kept by looking only at the
-count of the character that enters and of the one that leaves.  The entropy
+over each candidate string, a window slides by one character.  Its character
+counts are kept in a few longs, and a step changes two of them, that of the
+character that enters and that of the one that leaves, and by them the
+window's sum of ``c * log2(c)``.  The entropy
 ``log2(W) - sum / W`` is held against a threshold per character class.
 Candidates on the allow-list, windows that touch an allowed sample, and spans
 wholly inside a base span are suppressed.
 
 Rows: a null text counts as empty and gives no spans; one row per input row,
 repeated rows included; positions are code points, ends exclusive; columns
-other than ``doc_id`` and ``text`` are not read.
+other than ``doc_id`` and ``text`` are not read.  Work grows in proportion to a
+text's length and its number of matches: no step copies or recounts more than
+a bounded block, whatever the length of a candidate.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +44,53 @@ CLASSES = (
 ALLOW = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^[0-9_/=+-]+$",
-    r"^/?(?:[A-Za-z]+[/_=+-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^/?(?:[A-Za-z]++[/_=+-])++[A-Za-z]*+[0-9]{0,4}$",
 )
 
 #: Stretches of a candidate that are none: counting runs, samples, repeats.  The rest of it is scanned.
 SAMPLE = r"(?i:0123456789|abcdefghij|qwertyuiop|example|sample|dummy|placeholder|changeme|lorem)|(.)\1{7,}"
 
-SPAN = "array<struct<start:int,end:int,hit:string,value:string>>"
+SPAN = "struct<start:int,end:int,hit:string,value:string>"
+#: Elements folded before their results join those of earlier blocks.
+FOLD = 256
+#: Code points of a piece when a text is cut at many places.
+CUT = 1024
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once and not copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, use)
+
+
+def fold(items: Column, state: Column, step, item: str) -> Column:
+    """Walks ``items`` with ``state`` and collects what ``step(state, x)`` emits, in linear time.
+
+    ``step`` returns the new state, whether to emit, and the emitted value of
+    type ``item``.  Values are appended within a block of ``FOLD`` elements, and
+    blocks to a list of blocks, so no long array is copied for each element.
+    """
+    none = F.array().cast(f"array<{item}>")
+
+    def walk(all_items):
+        last = F.size(all_items) - 1
+
+        def inner(acc, i):
+            new, emit, value = step(acc["state"], F.get(all_items, i))
+            return F.struct(new.alias("state"), F.when(emit, F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"))
+
+        def outer(acc, at):
+            # Elements are taken by index: ``slice`` walks an array from its start.
+            return F.aggregate(
+                F.sequence(at, F.least(at + (FOLD - 1), last)),
+                F.struct(acc["state"].alias("state"), none.alias("out")),
+                inner,
+                lambda b: F.struct(b["state"].alias("state"), F.concat(acc["out"], F.array(b["out"])).alias("out")),
+            )
+
+        starts = F.sequence(F.lit(0), last, F.lit(FOLD))
+        return F.aggregate(starts, F.struct(state.alias("state"), F.array().cast(f"array<array<{item}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, lambda v: F.when(F.size(v) > 0, walk(v)).otherwise(none))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -61,15 +105,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
 
-    def step(acc, x):
-        start = acc["pos"] + F.char_length(x["gap"])
+    def step(pos, x):
+        start = pos + F.char_length(x["gap"])
         end = start + F.char_length(F.coalesce(x["hit"], F.lit("")))
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+        return end, x["hit"].isNotNull(), F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value"))
 
-    none = F.array().cast(SPAN)
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), fold(zipped, F.lit(0), step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def least_entropy(candidate: Column) -> Column:
@@ -81,64 +122,94 @@ def pieces(candidate: Column, pattern: str) -> Column:
     """``array<struct<at,piece>>``: what lies between the matches of ``pattern``, if it is a window or longer."""
     zipped = F.arrays_zip(F.split(candidate, pattern, -1).alias("gap"), F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(acc, x):
-        one = F.struct(acc["pos"].alias("at"), x["gap"].alias("piece"))
-        end = acc["pos"] + F.char_length(x["gap"]) + F.char_length(F.coalesce(x["hit"], F.lit("")))
-        return F.struct(end.alias("pos"), F.when(F.char_length(x["gap"]) < WINDOW, acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def step(pos, x):
+        end = pos + F.char_length(x["gap"]) + F.char_length(F.coalesce(x["hit"], F.lit("")))
+        return end, F.char_length(x["gap"]) >= WINDOW, F.struct(pos.alias("at"), x["gap"].alias("piece"))
 
-    none = F.array().cast("array<struct<at:int,piece:string>>")
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    return fold(zipped, F.lit(0), step, "struct<at:int,piece:string>")
 
 
 def stretch(candidate: Column, sample: str = SAMPLE) -> Column:
     """``first, last`` of the candidate's high-entropy windows that touch no match of ``sample``; ``first`` is -1 if there are none."""
-    least = least_entropy(candidate)
 
-    def step(acc, x):
-        w = window_span(x["piece"], least)
-        found = w["first"] >= 0
-        return F.struct(
-            F.when(found & (acc["first"] < 0), x["at"] + w["first"]).otherwise(acc["first"]).alias("first"),
-            F.when(found, x["at"] + w["last"]).otherwise(acc["last"]).alias("last"),
-        )
+    def parts(least):
+        def step(acc, x):
+            return let(
+                window_span(x["piece"], least),
+                lambda w: F.struct(
+                    F.when((w["first"] >= 0) & (acc["first"] < 0), x["at"] + w["first"]).otherwise(acc["first"]).alias("first"),
+                    F.when(w["first"] >= 0, x["at"] + w["last"]).otherwise(acc["last"]).alias("last"),
+                ),
+            )
+
+        return F.aggregate(pieces(candidate, sample), F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")), step)
 
-    parts = F.aggregate(pieces(candidate, sample), F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")), step)
-    whole = window_span(candidate, least)
-    return F.when(candidate.rlike(sample), parts).otherwise(F.struct(whole["first"].alias("first"), whole["last"].alias("last")))
+    return let(least_entropy(candidate), lambda least: F.when(candidate.rlike(sample), parts(least)).otherwise(window_span(candidate, least)))
+
+
+#: Letters of candidates are 43 (+) to 122 (z).  A window's counts are held in
+#: longs: 5 bits for a letter, 12 letters to a long.
+LETTER, BITS, PER = 43, 5, 12
+LONGS = (122 - LETTER) // PER + 1
+#: ``c * log2(c)`` in fixed point, so sums are exact however long a candidate is.
+FIXED = 1 << 32
+CLOG = [round(k * math.log2(k) * FIXED) if k else 0 for k in range(WINDOW + 2)]
 
 
 def window_span(candidate: Column, threshold: Column) -> Column:
-    """First and last position of the windows of ``candidate`` that reach the threshold."""
-    clog = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)])
-    most = (F.lit(math.log2(WINDOW)) - threshold) * WINDOW + F.lit(1e-9)  # a window passes with a sum of this or less
-
-    def count(window, letter):
-        return F.char_length(window) - F.char_length(F.replace(window, letter))
-
-    def step(acc, i):
-        enters = F.substring(candidate, i, F.lit(1))
-        window = F.substring(candidate, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
-        k = count(window, enters)
-        added = acc["sum"] + clog[k + 1] - clog[k]
-        leaves = F.substring(candidate, i - WINDOW, F.lit(1))
-        m = count(window, leaves) + F.when(leaves == enters, 1).otherwise(0)
-        total = F.when(i > WINDOW, added + clog[m - 1] - clog[m]).otherwise(added)
-        passes = (i >= WINDOW) & (total <= most)
-        return F.struct(
-            total.alias("sum"),
-            F.when(passes & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"),
-            F.when(passes, i).otherwise(acc["last"]).alias("last"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step)
+    """``first, last`` position of the windows of ``candidate`` that reach the threshold; ``first`` is -1 if none does.
+
+    A step changes two counts: that of the letter which enters the window and
+    that of the letter which leaves it.
+    """
+    clog = F.array(*[F.lit(x).cast("long") for x in CLOG])
+    units = F.array(*[F.lit(1 << BITS * i).cast("long") for i in range(PER)])
+    # A window passes with a sum of this or less; 32 steps of the fixed point cover its rounding.
+    most = F.floor((F.lit(math.log2(WINDOW)) - threshold) * F.lit(float(WINDOW * FIXED)) + 32)
+    letters = F.transform(
+        F.split(candidate, ""),
+        lambda c: let(F.ascii(c) - LETTER, lambda k: F.struct(F.floor(k / PER).cast("int").alias("place"), F.get(units, k % PER).alias("unit"))),
+    )
+
+    def slide(letters, most):
+        def step(acc, i):
+            return let(F.struct(F.get(letters, i).alias("e"), F.get(letters, i - WINDOW).alias("l")), lambda x: moved(acc, i, x["e"], x["l"]))
+
+        def held(acc, letter):
+            return F.call_function("div", F.get(acc["counts"], letter["place"]), letter["unit"]) % (1 << BITS)
+
+        def moved(acc, i, enters, leaves):
+            k = held(acc, enters).cast("int")
+            m = (held(acc, leaves) + F.when((leaves["place"] == enters["place"]) & (leaves["unit"] == enters["unit"]), 1).otherwise(0)).cast("int")
+            more = F.get(clog, k + 1) - F.get(clog, k)
+            less = F.coalesce(F.get(clog, m - 1) - F.get(clog, m), F.lit(0).cast("long"))
+            counts = F.transform(
+                acc["counts"],
+                lambda c, j: c + F.when(j == enters["place"], enters["unit"]).otherwise(0) - F.when(j == leaves["place"], leaves["unit"]).otherwise(0),
+            )
+            return let(F.struct((acc["sum"] + more + less).alias("sum"), counts.alias("counts")), lambda new: judged(acc, i, new))
+
+        def judged(acc, i, new):
+            passes = (i >= WINDOW - 1) & (new["sum"] <= most)
+            return F.struct(
+                new["sum"].alias("sum"),
+                new["counts"].alias("counts"),
+                F.when(passes & (acc["first"] < 0), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"),
+                F.when(passes, i + 1).otherwise(acc["last"]).alias("last"),
+            )
+
+        zero = F.lit(0).cast("long")
+        start = F.struct(zero.alias("sum"), F.array(*[zero] * LONGS).alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return let(F.struct(letters.alias("letters"), most.alias("most")), lambda v: slide(v["letters"], v["most"]))
 
 
 def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     """``array<struct<start,end>>`` of high-entropy stretches of candidate strings."""
     candidates = matches(text, CANDIDATE)
     if allow:
-        candidates = F.filter(candidates, lambda x: ~F.lit(False) & ~_any_rlike(x["hit"], allow))
+        candidates = F.filter(candidates, lambda x: ~_any_rlike(x["hit"], allow))
     scored = F.transform(candidates, lambda x: F.struct(x["start"].alias("at"), stretch(x["hit"]).alias("w")))
     kept = F.filter(scored, lambda x: x["w"]["first"] >= 0)
     return F.transform(kept, lambda x: F.struct((x["at"] + x["w"]["first"]).alias("start"), (x["at"] + x["w"]["last"]).alias("end")))
@@ -155,15 +226,19 @@ def _kind(spans: Column, order: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("kind"), x["end"].alias("end")))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Adds ``<prefix>base`` and ``<prefix>all``: sorted ``array<struct<start,kind,end>>``."""
+def with_spans(docs: DataFrame, base: str = "base", every: str = "all", text_col: str = "text") -> DataFrame:
+    """Adds ``base`` and ``every``: sorted ``array<struct<start,kind,end>>``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(matches(text, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= 8)
-    base, found, both = f"{prefix}base", f"{prefix}found", f"{prefix}all"
     out = docs.withColumn(base, F.array_sort(F.concat(_kind(assign, 0), _kind(matches(text, ACCESS), 1), _kind(matches(text, HEX), 2))))
-    out = out.withColumn(found, _kind(entropy_spans(text), 3))
-    new = F.filter(F.col(found), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-    return out.withColumn(both, F.array_sort(F.concat(F.col(base), new))).drop(found)
+
+    def step(reach, x):
+        """Of spans in order, base ones before entropy ones of the same start: those beyond all base spans so far."""
+        own = x["kind"] < 3
+        return F.when(own, F.greatest(reach, x["end"])).otherwise(reach), own | (x["end"] > reach), x
+
+    both = F.array_sort(F.concat(F.col(base), _kind(entropy_spans(text), 3)))
+    return out.withColumn(every, fold(both, F.lit(0), step, "struct<start:int,kind:int,end:int>"))
 
 
 def _joined(spans: Column) -> Column:
@@ -197,21 +272,33 @@ def masked(docs: DataFrame, mask: str = MASK) -> DataFrame:
     Overlapping spans are masked once.  A text without secrets, null included,
     stays as it is.
     """
-    found = with_spans(docs, prefix="__secret_")
-    text = F.col("text")
-
-    def step(acc, x):
-        gap = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
-        fresh = x["start"] >= acc["pos"]
-        return F.struct(
-            F.greatest(acc["pos"], x["end"]).alias("pos"),
-            F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mask)))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate("__secret_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.char_length(text))))
-    out = found.withColumn("text", F.when(F.size("__secret_all") > 0, rebuilt).otherwise(text))
+    base, every = (f"__{uuid.uuid4().hex}" for _ in "ab")
+    found = with_spans(docs, base, every)
+    text, spans = F.col("text"), F.col(every)
+
+    def step(pos, x):
+        """Gaps before each span that overlaps none before it."""
+        return F.greatest(pos, x["end"]), x["start"] >= pos, F.struct(pos.alias("start"), x["start"].alias("end"))
+
+    def rebuilt(pieces):
+        gaps = F.transform(fold(spans, F.lit(0), step, "struct<start:int,end:int>"), lambda g: cut_out(pieces, g["start"], g["end"]))
+        rest = cut_out(pieces, F.array_max(F.transform(spans, lambda x: x["end"])), F.char_length(text))
+        return F.concat(F.array_join(gaps, mask), F.lit(mask), rest)
+
+    hit = F.size(spans) > 0
+    out = found.withColumn("text", F.when(hit, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), rebuilt)).otherwise(text))
     if "n_chars" in docs.columns:
-        new = F.when(F.size("__secret_all") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", new.cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+def cut_out(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text given in pieces of ``CUT``; costs no more than the pieces it touches."""
+    first = F.floor(start / CUT).cast("int")
+    touched = F.sequence(first, F.floor((end - 1) / CUT).cast("int"))
+
+    def part(i):
+        skip = F.greatest(start - i * CUT, F.lit(0))
+        return F.substring(F.get(pieces, i), skip + 1, F.least(end - i * CUT, F.lit(CUT)) - skip)
+
+    return F.when(end > start, F.array_join(F.transform(touched, part), "")).otherwise("")
