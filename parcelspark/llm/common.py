@@ -10,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python.  Texts can be long (megabytes), so
-#: the default of 10,000 rows is too many for a bounded worker.
+#: Rows and bytes in one Arrow batch handed to Python.  Texts can be long
+#: (megabytes), so the default of 10,000 rows is too many for a bounded worker.
 ARROW_ROWS = 256
+ARROW_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session; call before building a Python stage."""
+    """Bound the Arrow batches of the session; call before building a Python stage.
+
+    Spark reads these settings when a plan runs, not when it is built, and has no
+    setting for a single stage; so they stay set.  Results do not depend on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    The setting is read from the session.  Where it is unset (tests on a local
-    master) a temporary folder is taken.
+    The setting is read from the session.  Where it is unset, a local master gets
+    a temporary folder; on a cluster that is an error, as executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -91,6 +99,30 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+#: A key is hot if it is on more than one of this many rows, so at most this many keys are.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each ``key``; ``weight``: its rows), null where it has none.
+
+    Hot keys are broadcast: at most ``HOT``, whatever the size of the tables.  The
+    others join as the planner decides from the size of ``table``; where it
+    shuffles, rows of hot keys and of null keys, which match nothing there, are
+    dealt out by a second key, so no key takes more than its share of a task.
+    """
+    values = [c for c in table.columns if c not in (key, weight)]
+    mine = {c: f"__{uuid.uuid4().hex}" for c in ("hot", "key", "deal", "salt", *values)}
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) * HOT > total).select(F.col(key).alias(mine["hot"]), *[F.col(c).alias(f"{mine[c]}h") for c in values])
+    rest = table.where(F.col(weight) * HOT <= total).select(F.col(key).alias(mine["key"]), F.lit(0).alias(mine["salt"]), *[F.col(c).alias(f"{mine[c]}r") for c in values])
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col(mine["hot"]), "left")
+    spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    out = out.withColumn(mine["deal"], F.when(F.col(mine["hot"]).isNotNull() | F.col(key).isNull(), spread).otherwise(0).cast("int"))
+    out = out.join(rest, (F.col(key) == F.col(mine["key"])) & (F.col(mine["deal"]) == F.col(mine["salt"])), "left")
+    return out.select(*rows.columns, *[F.coalesce(f"{mine[c]}h", f"{mine[c]}r").alias(c) for c in values])
+
+
 #: Keys that may be broadcast: about 100 MB at worst.
 BROADCAST_KEYS = 1_000_000
 

@@ -13,6 +13,10 @@ For each row the posterior over languages multiplies
 The last three come from grouped counts of the languages that texts alone
 suggest; a row's own vote is taken out of its host's counts first.
 
+Labels may be dirty: the ``MOST_LANGUAGES`` most frequent ones of ``lang`` (of
+equal counts the first in the alphabet) are the languages, and documents with
+any other label count as unlabelled, so the model's size is bounded.
+
 Rows: missing evidence (null or empty text, declaration, suffix or host) says
 nothing and leaves the others to decide; with none, the corpus prior does.  One
 row per input row.  Without labelled documents there are no languages, and
@@ -21,30 +25,46 @@ row per input row.  Without labelled documents there are no languages, and
 
 from __future__ import annotations
 
-import html as html_entities
 import re
+from html import unescape
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import BROADCAST_KEYS, cut, map_texts
+from parcelspark.llm.common import cut, lookup, map_texts, small_batches
+from parcelspark.llm.html_text import _tokens
 
 BUCKETS = 1 << 15
 #: Text evidence counts as at most this many independent trigrams.
 EFFECTIVE = 40
 ALPHA = 20.0
-#: Most languages of a model; its size is this times ``BUCKETS`` at most.
-MOST_LANGUAGES = 256
+#: Most languages of a model, whose size is this times ``BUCKETS`` at most: 16 MB.
+MOST_LANGUAGES = 128
 #: Pseudo-counts for country suffixes whose main language is plain.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 SUFFIX_WEIGHT = 50.0
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b < 0x80 else b for b in range(256))
-MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-#: What may hold markup that is none of the page's.
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']\s*([A-Za-z]{2,3})\b", re.I)
+ATTRIBUTE = r"""(?:^|[\s"'/])NAME\s*=\s*["']?\s*([A-Za-z]{2,3})(?![A-Za-z])"""
+LANG = re.compile(ATTRIBUTE.replace("NAME", "lang"), re.I)
+CONTENT = re.compile(ATTRIBUTE.replace("NAME", "content"), re.I)
+CONTENT_LANGUAGE = re.compile(r"content-language", re.I)
+
+
+def page_text(html: str) -> tuple[str | None, str]:
+    """The language that a page's markup declares first, and its whole text; comments, scripts and styles have no part in either."""
+    declared, text = None, []
+    for kind, value, raw in _tokens(html):
+        if kind == "text":
+            text.append(value)
+            continue
+        text.append(" ")
+        if declared is None and kind == "start" and raw:
+            m = LANG.search(raw) if value == "html" else CONTENT.search(raw) if value == "meta" and CONTENT_LANGUAGE.search(raw) else None
+            declared = m[1].lower() if m else None
+    return declared, unescape("".join(text))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -57,39 +77,33 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities ``[BUCKETS, languages]`` from all labelled documents.
+    """Languages, and log probabilities ``[BUCKETS, languages]`` from all documents that are labelled with one of them.
 
     Each task adds up its own counts; the sums that reach the driver are at most
-    ``MOST_LANGUAGES * BUCKETS``, however many documents there are.
+    ``MOST_LANGUAGES * BUCKETS``, however many documents and labels there are.
     """
+    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
+    most = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()
+    langs = sorted(r.l for r in most)
+    place = {x: i for i, x in enumerate(langs)}
+    schema = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        import pyarrow as pa
-
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            parts: dict[str, list] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.setdefault(lang, []).append(trigrams(text))
-            for lang, codes in parts.items():
-                if len(sums) > MOST_LANGUAGES:
-                    raise ValueError(f"more than {MOST_LANGUAGES} languages")
-                sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(codes), minlength=BUCKETS)
-        for lang, found in sums.items():
+                if (i := place.get(lang)) is not None:
+                    if i not in sums:
+                        sums[i] = np.zeros(BUCKETS, np.int64)
+                    sums[i] += np.bincount(trigrams(text), minlength=BUCKETS)
+        for i, found in sums.items():
             at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at, "n": found[at]}, schema=pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())]))
-
-    from parcelspark.llm.common import small_batches
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(found[at])], schema=schema)
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    totals = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(totals["lang"].unique().tolist())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    totals = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(langs)), 0.5)
-    where = {x: i for i, x in enumerate(langs)}
-    np.add.at(counts, (totals["bucket"].to_numpy(np.int64), totals["lang"].map(where).to_numpy(np.int64)), totals["n"].to_numpy(float))
+    counts[totals["bucket"].to_numpy(), totals["lang"].to_numpy()] += totals["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
@@ -119,9 +133,7 @@ def fuse(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         def one(raw, is_html):
             declared = None
             if is_html and raw:
-                m = DECLARED.search(HIDDEN.sub(" ", raw))
-                declared = (m[1] or m[2]).lower() if m else None
-                raw = html_entities.unescape(MARKUP.sub(" ", raw))
+                declared, raw = page_text(raw)
             codes = trigrams(raw)
             if not len(codes):
                 return declared, None
@@ -145,7 +157,7 @@ def fuse(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def counts(key: str) -> DataFrame:
         """``key``, and how many of its texts suggest each language."""
         tallies = F.array(*[F.count(F.when(F.col("best") == i + 1, 1)).cast("double") for i in range(k)])
-        return scored.where(F.col(key).isNotNull() & F.col("best").isNotNull()).groupBy(key).agg(tallies.alias(f"{key}_n"))
+        return cut(scored.where(F.col(key).isNotNull() & F.col("best").isNotNull()).groupBy(key).agg(F.count("*").alias("rows"), tallies.alias(f"{key}_n")))
 
     whole = scored.where("best IS NOT NULL").agg(*[F.count(F.when(F.col("best") == i + 1, 1)) for i in range(k)]).first()
     prior = (np.array(whole, float) + 1) / (sum(whole) + k)
@@ -157,22 +169,18 @@ def fuse(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     zeros = F.array(*[F.lit(0.0)] * k)
 
-    def attach(rows: DataFrame, key: str) -> DataFrame:
-        found = cut(counts(key))
-        if found.count() <= BROADCAST_KEYS // 10:
-            found = F.broadcast(found)
-        return rows.join(found, key, "left").withColumn(f"{key}_n", F.coalesce(f"{key}_n", zeros))
-
     def chance(key: str, pseudo) -> F.Column:
         """Log chance of the row's ``key`` given each language; 0 where it has none."""
-        values = scored.where(F.col(key).isNotNull()).select(F.approx_count_distinct(key)).first()[0] + 1
+        values = distinct[key] + 1
         sizes = F.array(*[F.lit(float(c)) for c in whole])
         own = F.zip_with(f"{key}_n", pseudo, lambda x, y: x + y + 0.5)
         return F.when(F.col(key).isNotNull(), F.zip_with(own, sizes, lambda x, s: F.log(x / (s + 0.5 * values)))).otherwise(zeros)
 
-    rows = scored
+    rows, distinct = scored, {}
     for key in ("host", "domain", "suffix", "declared"):
-        rows = attach(rows, key)
+        found = counts(key)
+        distinct[key] = found.count()
+        rows = lookup(rows, found, key, "rows").withColumn(f"{key}_n", F.coalesce(f"{key}_n", zeros))
     mine = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(F.col("best") == i, 1.0).otherwise(0.0))
     for key in ("host", "domain"):
         rows = rows.withColumn(f"{key}_n", F.zip_with(f"{key}_n", mine, lambda n, m: F.greatest(n - m, F.lit(0.0))))
