@@ -2,9 +2,9 @@
 
 A directory is indexed by the leading bits of a document's hash.  A bucket
 whose bytes exceed the limit splits on its next bit, and only such buckets do,
-until every shard fits.  Sizes come from one grouped sum per ``STEP`` bits, so
-the driver holds sums of hash prefixes (at most ``2**STEP`` for each bucket
-still too large), never rows.
+until every shard fits.  Bytes are summed by hash prefix, and prefixes rolled up
+bit by bit, in Spark; only the finished shards come to the driver, as arrays of
+numbers (40 bytes each, and at most a few times total bytes / limit of them).
 
 The hash is that of ``doc_id``; of the text where the id is null.  Rows that
 share all 64 bits (repeats of one id) and together exceed the limit go on
@@ -17,6 +17,7 @@ input row.  An empty table has no shards.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,91 +28,75 @@ from pyspark.sql.types import StructType
 from parcelspark.llm.common import bytes_of, cut, small_batches
 
 SHARD_BYTES = 64 << 20
-#: Most bits that one grouped sum resolves.
-STEP = 18
+#: Bits that one grouped sum resolves beyond those that equal shards would take.
+SPARE = 3
 BITS = 128
+DIRECTORY = "depth int, p0 long, p1 long, n_bytes long, n_docs long"
 
 
 def _prefix(depth: int):
     """The first ``depth`` of 128 bits held in ``h0`` and ``h1``, as (long, long)."""
     if depth <= 64:
-        return [F.shiftrightunsigned("h0", 64 - depth) if depth else F.lit(0).cast("long"), F.lit(0).cast("long")]
+        return [F.shiftrightunsigned("h0", 64 - depth), F.lit(0).cast("long")]
     return [F.col("h0"), F.shiftrightunsigned("h1", BITS - depth)]
 
 
-def _whole(hi: int, lo: int, depth: int) -> int:
-    """The prefix as one integer of ``depth`` bits."""
-    if depth <= 64:
-        return hi & ((1 << 64) - 1)
-    return (hi & ((1 << 64) - 1)) << (depth - 64) | (lo & ((1 << 64) - 1))
-
+def build_directory(sized: DataFrame, limit: int) -> pa.Table:
+    """Buckets that cover all hashes of ``sized (h0, h1, n_bytes)``, as rows of ``DIRECTORY``; empty for an empty table.
 
-def build_directory(sized: DataFrame, limit: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """Buckets ``(depth, prefix) -> (bytes, rows)`` that cover all hashes of ``sized (h0, h1, n_bytes)``."""
+    A bucket is closed if it fits the limit, holds a single row, or has used all
+    bits.  Each round resolves some bits of the buckets still open.
+    """
+    spark = sized.sparkSession
     total, rows = sized.agg(F.sum("n_bytes"), F.count("*")).first()
-    if not rows:
-        return {}
-    leaves: dict[tuple[int, int], tuple[int, int]] = {}
-    large = {(0, 0): (total, rows)}
-    while large := {k: v for k, v in large.items() if not _done(leaves, k, v, limit)}:
-        depth = next(iter(large))[0]
-        most = max(b for b, _ in large.values())
-        step = min(STEP, max(1, math.ceil(math.log2(max(2, most / limit))) + 2), (64 if depth < 64 else BITS) - depth)
+    one = spark.createDataFrame([(0, 0, 0, total, rows)] if rows else [], DIRECTORY)
+    if not rows or total <= limit or rows == 1:
+        return one.toArrow()
+    closed = (F.col("n_bytes") <= limit) | (F.col("n_docs") == 1) | (F.col("depth") == BITS)
+    depth, most, large, parts = 0, total, one.select("depth", "p0", "p1"), []
+    while most:
+        fine = depth + min(max(1, math.ceil(math.log2(most / limit)) + SPARE), (64 if depth < 64 else BITS) - depth)
         below = sized
         if depth:
-            spark = sized.sparkSession
-            keys = spark.createDataFrame([(_signed(p >> max(0, depth - 64)), _signed(p & ((1 << max(0, depth - 64)) - 1)) if depth > 64 else 0) for _, p in large], "p0 long, p1 long")
             at = _prefix(depth)
-            below = sized.join(F.broadcast(keys), (at[0] == F.col("p0")) & (at[1] == F.col("p1")), "left_semi")
-        fine = depth + step
-        cells = below.groupBy(*[c.alias(n) for c, n in zip(_prefix(fine), ("p0", "p1"))]).agg(F.sum("n_bytes"), F.count("*")).collect()
-        # Roll the fine cells up to every depth between, then walk down from each large bucket.
-        sums: dict[tuple[int, int], tuple[int, int]] = {}
-        for hi, lo, n, c in cells:
-            p = _whole(hi, lo, fine)
-            for d in range(depth + 1, fine + 1):
-                k = (d, p >> (fine - d))
-                old = sums.get(k, (0, 0))
-                sums[k] = (old[0] + n, old[1] + c)
-        large = _split(leaves, large, sums, fine, limit)
-    return leaves
-
-
-def _done(leaves, key, size, limit) -> bool:
-    if size[0] <= limit or size[1] == 1 or key[0] == BITS:
-        leaves[key] = size
-        return True
-    return False
-
-
-def _split(leaves, large, sums, fine, limit):
-    """Splits buckets bit by bit; returns those still too large at depth ``fine``."""
-    left, todo = {}, list(large)
-    while todo:
-        depth, p = todo.pop()
-        for child in ((depth + 1, p << 1), (depth + 1, p << 1 | 1)):
-            size = sums.get(child)
-            if size is None:
-                leaves[child] = (0, 0)
-            elif _done(leaves, child, size, limit):
-                pass
-            elif child[0] == fine:
-                left[child] = size
-            else:
-                todo.append(child)
-    return left
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+            below = sized.join(large.drop("depth"), (at[0] == F.col("p0")) & (at[1] == F.col("p1")), "left_semi")
+        cells = below.groupBy(*[c.alias(n) for c, n in zip(_prefix(fine), ("p0", "p1"))]).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs"))
+        up = cells.withColumn("depth", F.explode(F.sequence(F.lit(depth + 1), F.lit(fine))))
+        moved = "p0" if fine <= 64 else "p1"
+        up = up.withColumn(moved, F.call_function("shiftrightunsigned", F.col(moved), F.lit(fine) - F.col("depth")))
+        sums = cut(up.groupBy("depth", "p0", "p1").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_docs").alias("n_docs")))
+        # Sums only shrink on the way down, so whatever is above an open bucket is open too.
+        opened = large.unionByName(sums.where(~closed & (F.col("depth") < fine)).select("depth", "p0", "p1"))
+        child = opened.select((F.col("depth") + 1).alias("depth"), "p0", "p1", F.explode(F.array(F.lit(0), F.lit(1))).alias("bit"))
+        child = child.withColumn(moved, F.shiftleft(moved, 1).bitwiseOR(F.col("bit"))).drop("bit")
+        found = cut(child.join(sums, ["depth", "p0", "p1"], "left").fillna(0, ["n_bytes", "n_docs"]))
+        parts.append(found.where(closed).select("depth", "p0", "p1", "n_bytes", "n_docs").toArrow())
+        large = found.where(~closed & (F.col("depth") == fine))
+        most = large.agg(F.max("n_bytes")).first()[0]
+        large, depth = large.select("depth", "p0", "p1"), fine
+    return pa.concat_tables(parts)
+
+
+def _starts(leaves: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least hash of each bucket as high and low 64 bits, and the buckets in that order."""
+    depth = leaves["depth"].to_numpy().astype(np.uint64)
+    p0, p1 = (leaves[c].to_numpy().view(np.uint64) for c in ("p0", "p1"))
+
+    def left(x, by):
+        return np.where(by > 63, np.uint64(0), x << np.minimum(by, np.uint64(63)))
+
+    shallow = depth <= 64
+    high = np.where(shallow, left(p0, np.uint64(64) - np.minimum(depth, np.uint64(64))), p0)
+    low = np.where(shallow, np.uint64(0), left(p1, np.uint64(BITS) - np.maximum(depth, np.uint64(64))))
+    order = np.lexsort((low, high))
+    return high[order], low[order], order
 
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, over_limit``.
 
-    ``shard`` spells the bucket's bits (``-`` for the one bucket of depth 0).
-    The directory is sent to the tasks: its leaves are at most a few times
-    total bytes / limit.
+    ``shard`` spells the bucket's bits after a ``b``, so that it reads back as text
+    wherever it names a folder.  The directory is sent to the tasks as arrays.
     """
     sized = cut(_sized(docs, F.col("doc_id")))
     return _placed(sized, limit)
@@ -127,35 +112,37 @@ def _sized(docs: DataFrame, *more) -> DataFrame:
 def _placed(sized: DataFrame, limit: int) -> DataFrame:
     """The columns of ``sized`` but for its hashes, with each row's shard."""
     leaves = build_directory(sized.select("h0", "h1", "n_bytes"), limit)
-    found = sorted((p << (BITS - d), d, p, *v) for (d, p), v in leaves.items())
-    high = np.array([s >> 64 for s, *_ in found], np.uint64)
-    low = [s & ((1 << 64) - 1) for s, *_ in found]
-    names = [format(p, f"0{d}b") if d else "-" for _, d, p, _, _ in found]
-    sent = sized.sparkSession.sparkContext.broadcast((high, low, names, [x[1:] for x in found], limit))
+    high, low, order = _starts(leaves)
+    about = [leaves[c].to_numpy()[order] for c in ("depth", "p0", "p1", "n_bytes", "n_docs")]
+    sent = sized.sparkSession.sparkContext.broadcast((high, low, about, limit))
     own = [c for c in sized.columns if c not in ("h0", "h1")]
     small_batches(sized.sparkSession)
 
     def run(batches):
-        high, low, names, about, limit = sent.value
+        high, low, (depth, p0, p1, n_bytes, n_docs), limit = sent.value
+
+        def name(i) -> str:
+            d, bits = int(depth[i]), int(p0[i]) & (1 << 64) - 1
+            if d > 64:
+                bits = bits << d - 64 | int(p1[i])
+            return "b" + (format(bits, f"0{d}b") if d else "")
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             h0, h1 = (np.array(batch.column(c), np.int64).view(np.uint64) for c in ("h0", "h1"))
             at = np.searchsorted(high, h0, side="right") - 1
-            for i in np.flatnonzero(np.array([low[a] > 0 for a in at], bool)):  # buckets deeper than 64 bits
-                a = at[i]
-                while low[a] > int(h1[i]):
-                    a -= 1
-                at[i] = a
-            info = [about[a] for a in at]
+            for i in np.flatnonzero(low[at] > 0):  # buckets deeper than 64 bits: all with this first half are neighbours
+                first = np.searchsorted(high, high[at[i]], side="left")
+                at[i] = first + np.searchsorted(low[first : at[i] + 1], h1[i], side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in own],
-                    pa.array([names[a] for a in at], pa.string()),
-                    pa.array([x[0] for x in info], pa.int32()),
-                    pa.array([x[2] for x in info], pa.int64()),
-                    pa.array([x[3] for x in info], pa.int64()),
-                    pa.array([x[2] > limit for x in info], pa.bool_()),
+                    pa.array([name(i) for i in at], pa.string()),
+                    pa.array(depth[at], pa.int32()),
+                    pa.array(n_bytes[at], pa.int64()),
+                    pa.array(n_docs[at], pa.int64()),
+                    pa.array(n_bytes[at] > limit, pa.bool_()),
                 ],
                 names=[*own, "shard", "depth", "shard_bytes", "shard_docs", "over_limit"],
             )
@@ -170,8 +157,10 @@ def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> Data
     The rows are written once with their frozen hashes, so each goes to the shard
     that the assignment gives it, rows of one id or of none included.
     """
-    kept = cut(_sized(docs, "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("doc")))
-    name = "__shard"
-    placed = cut(_placed(kept, limit))
-    placed.select("doc.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(folder)
-    return placed.drop("doc")
+    id_, doc, name = "doc_id", f"__{uuid.uuid4().hex}", "__shard"
+    kept = cut(_sized(docs, id_, F.struct(*[docs[c] for c in docs.columns]).alias(doc)))
+    while name in docs.columns:
+        name += "_"
+    placed = _placed(kept, limit)
+    placed.select(f"{doc}.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(folder)
+    return placed.drop(doc)
