@@ -13,7 +13,8 @@ The masked checksum is crc32 rotated right by 15 bits plus a constant, so that
 a file of records within a record does not check itself.
 
 Parts follow ascending doc_id (range partitioning, sorted within the part;
-null ids first, equal ids by text), so a part's place fixes the ids before it.
+null ids first, equal ids by a hash of their text, which also spreads them over
+parts), so a part's place fixes the ids before it.
 A part is written under an attempt's own name and then moved, so a retried or
 doubled task leaves one whole file.  The folder must be one that all executors
 reach; any URI that ``pyarrow.fs`` opens will do.
@@ -135,7 +136,8 @@ def write_records(docs: DataFrame, folder: str, parts: int | None = None, path:
         fs.move(own, at)
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=PARTS)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     rows = sorted((tuple(r) for r in ordered.mapInArrow(write, "part int, uri string, n_docs long, n_tokens long").collect()))
     starts = np.cumsum([0, *(r[3] for r in rows)]).tolist()
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts)], "part int, uri string, n_docs long, n_tokens long, start long")
