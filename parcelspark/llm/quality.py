@@ -213,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     The sample is the labelled ids of smallest hash, so it is spread over the
     table and the same in every run.  Its ids are broadcast: at most ``sample``
     rows, whatever the size of the tables.  Null labels are left out; of several
-    labels of one id the smallest counts.
+    labels of one id the smallest counts, and of several documents of one id the
+    one with the smallest statistics, so trees are the same in every run.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -225,9 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def make():
-        return lambda y, text: {"y": y, "x": [statistics(t)[1] for t in text]}
+        return lambda key, y, text: {"doc_id": key, "y": y, "x": [statistics(t)[1] for t in text]}
 
-    found = map_texts(rows.select(F.col("quality").cast("double").alias("y"), "text"), ["y", "text"], make, "y double, x array<double>").limit(4 * sample).toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    stated = map_texts(rows.select("doc_id", F.col("quality").cast("double").alias("y"), "text"), ["doc_id", "y", "text"], make, f"doc_id {kind}, y double, x array<double>")
+    found = stated.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
     if len(found) < LEAST_LABELS or found["y"].nunique() < 2:
         return EMPTY
     x = np.stack(found["x"].to_list())
