@@ -114,14 +114,20 @@ class Merges:
         return [p for p, x in zip(parts, gone) if not x]
 
 
+#: Longest text that a cache keeps; with the number of entries it bounds a cache to some 100 MB.
+LONGEST = 32
+
+
 class Cache(dict):
-    """Memo of ``make``; emptied when full."""
+    """Memo of ``make`` for numbers and short texts; emptied when full.  Long texts are made anew each time."""
 
     def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
+        if not isinstance(key, int) and len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         out = self[key] = self.make(key)
