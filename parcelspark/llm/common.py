@@ -44,7 +44,31 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def mark() -> int:
+    """To be handed to ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete what was written to folders of ``shared_dir`` since ``mark``, but for the last ``keep`` of them.
+
+    Only for tables that no later action reads: a DataFrame that is still to be
+    computed needs its own.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    end = len(_MADE) - keep
+    for path in _MADE[since:end]:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _MADE[since:end]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -123,19 +147,13 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     return out.select(*rows.columns, *[F.coalesce(f"{mine[c]}h", f"{mine[c]}r").alias(c) for c in values])
 
 
-#: Keys that may be broadcast: about 100 MB at worst.
-BROADCAST_KEYS = 1_000_000
-
-
 def without(docs: DataFrame, key: F.Column, bad: DataFrame, anti: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is not in ``bad`` (or is, with ``anti=False``).
+    """Rows of ``docs`` whose ``key`` is not in the one column of ``bad`` (or is, with ``anti=False``).
 
-    The keys are written and counted first; up to ``BROADCAST_KEYS`` they are
-    broadcast, and beyond that the join shuffles.  Columns stay as they are,
-    whatever their names.
+    ``bad`` has a row for each such row of ``docs``, so that keys of many rows are
+    known (``lookup``).  Columns stay as they are, whatever their names.
     """
-    name = f"__key_{uuid.uuid4().hex}"
-    keys = cut(bad.toDF(name).distinct())
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, key.eqNullSafe(keys[name]), "left_anti" if anti else "left_semi").select(*[docs[c] for c in docs.columns])
+    name, rows, flag = (f"__{uuid.uuid4().hex}" for _ in range(3))
+    found = cut(bad.toDF(name).groupBy(name).agg(F.count("*").alias(rows)).withColumn(flag, F.lit(True)))
+    marked = lookup(docs.withColumn(name, key), found, name, rows)
+    return marked.where(F.col(flag).isNull() if anti else F.col(flag)).select(*docs.columns)

@@ -35,6 +35,7 @@ are read.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import BROADCAST_KEYS, cut, map_texts, without
+from parcelspark.llm.common import cut, lookup, map_texts, mark, release, without
 from parcelspark.llm.decontam import grams, word_hashes
 
 BINS = 1 << 20
@@ -126,13 +127,28 @@ def _map_arrow(df: DataFrame, per_batch, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Rows of one key that a join deals to one task.
+SHARE = 2000
+
+
+def _both_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with ``columns`` of both nodes, named ``<column>_a`` and ``<column>_b``.
+
+    A pivot can be in a large share of all pairs: its pairs are dealt to several
+    tasks, and so many copies of its columns are made.
+    """
+    for side, other in (("a", "b"), ("b", "a")):
+        most = cut(pairs.groupBy(side).agg(F.count("*").alias("rows")).where(F.col("rows") > SHARE).withColumn("shares", F.ceil(F.col("rows") / SHARE).cast("int")))
+        dealt = lookup(pairs, most, side, "rows").withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+        copies = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).join(most.select(side, "shares"), side, "left")
+        copies = copies.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+        pairs = dealt.join(copies, [side, "share"]).drop("share")
+    return pairs
+
+
 def _with_low(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b, n_a, n_b, agree`` of pairs ``a, b``: set sizes and the number of equal coordinates."""
-    side = nodes.select("node", "low", "n")
-    joined = (
-        pairs.join(side.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("n_a")), "a")
-        .join(side.select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("n_b")), "b")
-    )
+    joined = _both_sides(pairs.select("a", "b"), nodes, ["low", "n"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("agree", pa.int32())])
 
     def count(batch):
@@ -140,7 +156,7 @@ def _with_low(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         agree = pa.array((left == right).sum(axis=1).astype(np.int32))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), agree], schema=schema)
 
-    return _map_arrow(joined, count, "a long, b long, n_a long, n_b long, agree int")
+    return _map_arrow(joined.select("a", "b", "n_a", "n_b", "low_a", "low_b"), count, "a long, b long, n_a long, n_b long, agree int")
 
 
 def _plausible(percent: int, coordinates: int = COORDINATES) -> int:
@@ -153,16 +169,25 @@ def _close_sizes(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, text`` of a row that stands for each wanted node; repeated rows give it more than once."""
-    needed = cut(nodes.join(wanted.select("node").distinct(), "node").select("node", "rep_id", "rep_key"))
-    if needed.count() <= BROADCAST_KEYS:
-        needed = F.broadcast(needed)
+def _sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``node, shingles`` of each node that shares a bucket: its full set; written.
+
+    The one time that texts are read again.  A row that stands for a node is
+    known by its id and text key; how these meet is left to the planner, which
+    goes by the size of the written list.
+    """
+    needed = cut(nodes.join(members.select("node").distinct(), "node").select("node", "rep_id", "rep_key"))
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    return keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
+    # Repeated rows of one id and text would meet in one task; the list goes by the text key, and one row of each copy is enough.
+    texts = keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
+
+    def make():
+        return lambda node, text: {"node": node, "shingles": [shingle_set(t, words).tobytes() for t in text]}
+
+    return cut(map_texts(texts, ["node", "text"], make, "node long, shingles binary").dropDuplicates(["node"]))
 
 
-def _sketches(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _sketches(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, small, wide`` for the nodes still in question; written.
 
     ``small``: the low 32 bits of each shingle hash, for sets up to ``SMALL``.
@@ -170,43 +195,33 @@ def _sketches(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, words: int
     """
 
     def make():
-        def step(node, text):
+        def step(node, shingles):
             small, wide = [], []
-            for t in text:
-                found = shingle_set(t, words)
+            for found in (np.frombuffer(x, np.uint64) for x in shingles):
                 small.append(np.unique(found.astype(np.uint32)).tobytes() if len(found) <= SMALL else None)
                 wide.append((signature(found, WIDE) & 0xFF).astype(np.uint8).tobytes() if 100 * len(found) > percent * SMALL else None)
             return {"node": node, "small": small, "wide": wide}
 
         return step
 
-    found = map_texts(_texts(labelled, nodes, docs), ["node", "text"], make, "node long, small binary, wide binary")
-    return cut(found.dropDuplicates(["node"]))
+    wanted = sets.join(labelled.select("node").distinct(), "node", "left_semi")
+    return cut(map_texts(wanted, ["node", "shingles"], make, "node long, small binary, wide binary"))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets reach the threshold; written."""
-    pairs = pairs.select("a", "b")
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
-
-    def make():
-        return lambda node, text: {"node": node, "shingles": [shingle_set(t, words).tobytes() for t in text]}
-
-    sets = cut(map_texts(texts, ["node", "text"], make, "node long, shingles binary"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
-    )
+    both = _both_sides(pairs.select("a", "b"), sets, ["shingles"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batch):
         keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
             left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             shared = len(np.intersect1d(left, right, assume_unique=True))
             keep.append(100 * shared >= percent * (len(left) + len(right) - shared))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep))
 
-    return cut(_map_arrow(both, check, "a long, b long").distinct())
+    return cut(_map_arrow(both.select("a", "b", "shingles_a", "shingles_b"), check, "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,8 +229,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every root to its smallest neighbouring root, then halves
     the paths; links contract to what still joins different roots.  Rounds are
-    written, so lineage stays short and a lost executor costs one round.
+    written, so lineage stays short and a lost executor costs one round; those
+    of earlier rounds are deleted.
     """
+    spark, since = links.sparkSession, mark()
     labels = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")))
     while True:
         roots = labels.withColumnRenamed("node", "a").withColumnRenamed("comp", "x")
@@ -231,9 +248,9 @@ def components(links: DataFrame) -> DataFrame:
             if longer.where("higher IS NOT NULL").isEmpty():
                 break
             parent = cut(longer.select("root", F.coalesce("higher", "up").alias("up")))
-        labels = cut(
-            labels.join(parent.withColumnRenamed("root", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        )
+        links = cut(links)
+        labels = cut(labels.join(parent.withColumnRenamed("root", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        release(spark, since, keep=2)
 
 
 def _closest(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -255,10 +272,9 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their components; written."""
-    rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = cut(rows)
-    still = rows.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp <> high_comp")
-    return cut(rows.join(still.select("bucket"), "bucket"))
+    rows = cut(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    still = rows.groupBy("bucket").agg(F.count("*").alias("rows"), (F.min("comp") != F.max("comp")).alias("open")).where("open")
+    return cut(lookup(rows, cut(still), "bucket", "rows").where("open").drop("open"))
 
 
 def _second_pairs(labelled: DataFrame) -> DataFrame:
@@ -270,12 +286,10 @@ def _second_pairs(labelled: DataFrame) -> DataFrame:
 
 def _cross_pairs(labelled: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All plausible pairs of different components within a bucket; written."""
-    still = labelled.groupBy("bucket").agg(F.count("*").alias("size"))
-    labelled = labelled.select("bucket", "node", "comp")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    still = cut(labelled.groupBy("bucket").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        labelled.join(still.select("bucket", blocks.alias("blocks")), "bucket")
+        lookup(labelled.select("bucket", "node", "comp"), still, "bucket", "size")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low_block", F.least("mine", "other"))
@@ -369,17 +383,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, survivor
         )
         .where("size > 1")
     )
-    members = cut(placed.join(buckets, "bucket").select("bucket", "node", "size", "pivot_1", "pivot_2"))
-    links = _confirm(_closest(_first_pairs(members), nodes, percent), nodes, docs, words, percent)
+    found = lookup(placed, cut(buckets.withColumn("rows", F.col("size"))), "bucket", "rows")
+    members = cut(found.where("size IS NOT NULL").select("bucket", "node", "size", "pivot_1", "pivot_2"))
+    sets = _sets(members, nodes, docs, words)
+    links = _confirm(_closest(_first_pairs(members), nodes, percent), sets, percent)
     labels = components(links)
     labelled = _labelled(members, labels)
-    second = _confirm(_closest(_second_pairs(labelled), nodes, percent), nodes, docs, words, percent)
+    second = _confirm(_closest(_second_pairs(labelled), nodes, percent), sets, percent)
     if not second.isEmpty():
         links = links.unionByName(second)
         labels = components(links)
         labelled = _labelled(labelled.drop("comp"), labels)
-    sketches = _sketches(labelled, nodes, docs, words, percent)
-    last = _confirm(_cross_pairs(labelled, nodes, sketches, percent), nodes, docs, words, percent)
+    sketches = _sketches(labelled, sets, percent)
+    last = _confirm(_cross_pairs(labelled, nodes, sketches, percent), sets, percent)
     if not last.isEmpty():
         labels = components(links.unionByName(last))
     marked = nodes.select("digest", "node", "rep_id", *(["rep_key"] if survivors else [])).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -409,7 +425,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     repeated = cut(found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(F.struct("doc_id", "text_key").alias("row")))
     if repeated.isEmpty():
         return kept
-    name = "__near_key"
+    name = f"__{uuid.uuid4().hex}"
     once = without(kept, key, repeated)
     again = without(kept, key, repeated, anti=False).withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name])
     return once.unionByName(again.select(*docs.columns))
