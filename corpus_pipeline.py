@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelspark.llm import decontam, minhash, quality, rank_bpe, secrets
-from parcelspark.llm.common import shared_dir, table
+from parcelspark.llm.common import mark, release, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    Once a stage is written, what its operators had written on the way is deleted,
+    and so is its input, the rows of the stage before.
+    """
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
+        rows = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows.write.parquet(path)
+        release(spark, since, keep=1)
         docs = spark.read.parquet(path)
     return docs
