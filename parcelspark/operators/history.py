@@ -62,3 +62,16 @@ def building_trends(leases: DataFrame) -> DataFrame:
         .where("team_id IS NOT NULL")
         .fillna("(all)", ["building_key"])
     )
+
+
+def property_history(leases: DataFrame) -> DataFrame:
+    """The records of each unit in order."""
+    rows = leases.where("unit_key IS NOT NULL").withColumn("nth", F.row_number().over(_by_unit()).cast("long"))
+    return rows.select("team_id", "unit_key", "lease_id", "uploaded_at", F.col("rent").cast("double").alias("rent"), "nth")
+
+
+def rent_change_summary(leases: DataFrame, since: str) -> DataFrame:
+    """Rent changes per team, their mean, and how many are recent."""
+    steps = rent_growth(leases).join(leases.select("team_id", F.col("lease_id").alias("to_lease_id"), "uploaded_at"), ["team_id", "to_lease_id"])
+    mean = F.sum(F.col("pct_change").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return steps.groupBy("team_id").agg(F.count("*").alias("changes"), F.round(mean, 2).alias("mean_pct"), F.count_if(F.col("uploaded_at") >= F.lit(since).cast("date")).alias("recent"))

@@ -21,6 +21,13 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     "lease_end_date": [(r"\b(?:Expiration|End|Termination)\s+Date\s*(?::|is|shall be)?\s*" + _DAY, "high"), (r"\b(?:expir|end|terminat)\w*\s+(?:on\s+)?(?:the\s+)?" + _DAY, "medium")],
     "square_footage": [(r"\b([\d,]{3,9})\s*(?:rentable\s+)?(?:square\s+feet|sq\.?\s*ft\.?)", "high")],
     "rent_escalation": [(r"\b(\d+(?:\.\d+)?\s*%\s*(?:annually|per year|each year))", "high"), (r"\bincrease\w*\s+by\s+(\d+(?:\.\d+)?\s*%)", "medium")],
+    "property_address": [(r"\b(?:Premises|Property|Address)\s*:\s*(\d[^\n;]{4,100}?)\s*(?:\n|;|$)", "high"), (r"\b(?:premises|property)\s+(?:located\s+)?at\s+(\d[^\n;.]{4,100}?)\s*(?:[\n;.]|$)", "medium")],
+    "cam_charges": [(r"\b(?:[Cc]ommon [Aa]rea [Mm]aintenance|CAM)\b[^.$]{0,40}" + _MONEY, "high")],
+    "renewal_options": [(r"\b(\d+\s+options?\s+to\s+(?:renew|extend)[^.;]{0,40}?\d+\s+years?)", "high"), (r"\b(?:renewal|extension)\s+options?\s*:?\s*([^.;\n]{4,80})", "medium")],
+    "termination_options": [(r"\b((?:[Tt]enant|[Ll]andlord|[Ee]ither party)\s+may\s+terminate[^.;\n]{4,120})", "high")],
+    "permitted_use": [(r"\b[Pp]ermitted\s+[Uu]se\s*(?::|is|shall be)\s*([^.;\n]{3,80})", "high"), (r"\bused?\s+(?:only|solely|exclusively)\s+(?:as|for)\s+([^.;\n]{3,80})", "medium")],
+    "exclusivity_clause": [(r"\b[Ee]xclusiv\w+\s*(?::|clause)\s*([^.;\n]{4,120})", "high"), (r"\b([Ll]andlord\s+shall\s+not\s+(?:lease|rent)[^.;\n]{4,120})", "medium")],
+    "insurance_requirements": [(r"\bmaintain\s+([^.;\n]{0,60}?insurance[^.;\n]{0,60}?\$\s?[\d,]+)", "high"), (r"\b([^.;\n]{0,60}liability\s+insurance[^.;\n]{0,60})", "medium")],
     "default_cure_period": [(r"\b(\d+\s+days?)\b[^.]{0,40}\bcure", "medium"), (r"\bcure\b[^.]{0,40}?\b(\d+\s+days?)", "medium")],
 }
 COMPILED = {f: [(re.compile(p), c) for p, c in ps] for f, ps in PATTERNS.items()}

@@ -221,3 +221,33 @@ def financial_scope(leases: DataFrame) -> DataFrame:
     order = Window.partitionBy("team_id", "unit_key").orderBy("is_rent_roll", F.desc("uploaded_at"), F.desc("lease_id"))
     keyed = leases.where("unit_key IS NOT NULL").withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
     return keyed.unionByName(leases.where("unit_key IS NULL"))
+
+
+def t12_income_gap(leases: DataFrame, statements: DataFrame, least: float = 5.0) -> DataFrame:
+    """Rolls whose yearly rent is above a building's stated rental income by more than ``least`` percent.
+
+    ``statements``: team_id, building_key, rental_income, gross_potential,
+    vacancy_loss, concessions, all of a year.
+    """
+    key = ["team_id", "building_key"]
+    rents = leases.where("is_rent_roll AND rent IS NOT NULL").groupBy(*key).agg((F.sum("rent") * 12).cast("double").alias("roll"))
+    rows = rents.join(statements.where("rental_income IS NOT NULL"), key).withColumn("gap", F.col("roll") - F.col("rental_income"))
+    rows = rows.where((F.col("gap") > 0) & (F.col("gap") / F.greatest("roll", "rental_income") * 100 > least))
+    monthly = F.col("gap") / 12
+    return rows.select(*key, F.round("roll", 2).alias("roll_annual"), F.round("rental_income", 2).alias("stated_annual"), F.round(monthly, 2).alias("monthly_impact"), F.round("gap", 2).alias("annual_impact"), F.lit("overstate").alias("income_direction"), parse.severity_of_impact(monthly).alias("severity"))
+
+
+def t12_occupancy_gap(leases: DataFrame, statements: DataFrame, least: float = 5.0) -> DataFrame:
+    """Occupied share of the rolls' units against one less vacancy over potential rent, in points."""
+    key = ["team_id", "building_key"]
+    units = leases.where("is_rent_roll").groupBy(*key).agg(F.count("tenant").alias("occupied"), F.count("*").alias("units"))
+    roll = F.col("occupied") / F.col("units") * 100
+    stated = (1 - F.abs("vacancy_loss") / F.abs("gross_potential")) * 100
+    rows = units.join(statements.where("vacancy_loss IS NOT NULL AND gross_potential <> 0"), key)
+    return rows.where(F.abs(roll - stated) > least).select(*key, F.round(roll, 1).alias("roll_pct"), F.round(stated, 1).alias("stated_pct"), F.lit("medium").alias("severity"))
+
+
+def t12_concessions(statements: DataFrame) -> DataFrame:
+    """Stated concessions that no roll can confirm."""
+    amount = F.round(F.abs("concessions"), 2)
+    return statements.where(amount > 0).select("team_id", "building_key", amount.alias("stated_annual"), F.lit("low").alias("severity"))

@@ -708,3 +708,7 @@ def page_chunks(spark, sf_dir):
     """Documents of a source as the pages of one file."""
     pages = read(spark, sf_dir, "documents").select((F.col("doc_id") / 20).cast("long").alias("doc_id"), (F.col("doc_id") % 20).cast("int").alias("page"), "text")
     return lease_text.page_chunks(pages, 8, 10_000)
+
+
+# Registers further queries; last, as they use what is above.
+from parcelspark.plans import intake, ledger  # noqa: E402, F401

@@ -129,6 +129,12 @@ def parse_file(name: str, raw: bytes) -> list[dict]:
     return out
 
 
+def name_in(folder: str, path: str) -> str:
+    """A file's path below ``folder``, so that files of one name in several folders stay apart."""
+    bare, base = (re.sub(r"^[a-z0-9]+:/*", "/", x) for x in (path, folder.rstrip("/") + "/"))
+    return bare.removeprefix(base)
+
+
 def read_rent_rolls(spark: SparkSession, path: str) -> DataFrame:
     """All rent rolls under ``path``: one row per grid row below the header.
 
@@ -139,7 +145,7 @@ def read_rent_rolls(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in parse_file(p.rsplit("/", 1)[-1], bytes(c))]
+            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in parse_file(name_in(path, p), bytes(c))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROW.split(", ")])
 
     return files.mapInPandas(run, ROW)

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the rent-roll export, in order (K3).
 RENT_ROLL = ("lease_id", "filename", "tenant", "landlord", "property_address", "rent", "sqft", "psf", "cam", "deposit", "escalation_pct", "start_date", "end_date", "months_left", "renewal_options", "termination_options", "notice_days", "is_rent_roll")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; on a local master a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """One text file for each ``name``, its ``line`` values in the order of ``place``."""
+    lines.repartition("name").sortWithinPartitions("name", "place").select("name", "line").write.partitionBy("name").text(path)
+
+
 def months_left(as_of: str) -> F.Column:
     """Calendar months to the end, one less where its day comes earlier; NULL without an end."""
     today, end = F.lit(as_of).cast("date"), F.col("end_date")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import parse
-from parcelspark.sources.delimited import decode, grid, header_key
+from parcelspark.sources.delimited import decode, grid, header_key, name_in
 
 MONTHS = [m[:3] for m in parse.MONTHS]
 CATEGORIES = {
@@ -79,7 +79,7 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in parse_statement(p.rsplit("/", 1)[-1], bytes(c))]
+            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in parse_statement(name_in(path, p), bytes(c))]
             yield pd.DataFrame(rows, columns=["file", "category", "row_num", "month_idx", "raw"])
 
     return files.mapInPandas(run, OUT).withColumn("amount", parse.import_currency("raw")).drop("raw")
