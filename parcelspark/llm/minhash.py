@@ -15,8 +15,8 @@ Steps, none of which brings rows of documents together beyond a bounded block:
 3. Each bucket has two pivots.  A node is held against those of its two
    largest buckets (rows grow with the nodes, not with their pairs), and
    checked against the two of the closest signatures on the full shingle sets.
-   Nodes that still stand apart from pivots of their other buckets are held
-   against those too.  Components of the confirmed links follow.
+   Nodes that still stand apart from pivots of their largest open buckets are
+   held against those too.  Components of the confirmed links follow.
 4. Buckets that still hold several components are compared across components,
    in blocks of ``BLOCK`` members, each pair in the first bucket that it shares:
    by signature, and then by a finer sketch that only these nodes get (32-bit
@@ -52,6 +52,8 @@ MISS = 1e-6
 BLOCK = 1500
 WIDE = 1024
 SMALL = 300
+#: Open buckets of a node whose pivots it is held against in the second round.
+MORE = 4
 SEED = 20_011
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -135,15 +137,19 @@ def _both_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataF
     """``pairs`` with ``columns`` of both nodes, named ``<column>_a`` and ``<column>_b``.
 
     A pivot can be in a large share of all pairs: its pairs are dealt to several
-    tasks, and so many copies of its columns are made.
+    tasks, and so many copies of its columns are made.  Only nodes of the pairs
+    travel; their join is a merge at every size.
     """
+    out = pairs = cut(pairs)
     for side, other in (("a", "b"), ("b", "a")):
-        most = cut(pairs.groupBy(side).agg(F.count("*").alias("rows")).where(F.col("rows") > SHARE).withColumn("shares", F.ceil(F.col("rows") / SHARE).cast("int")))
-        dealt = lookup(pairs, most, side, "rows").withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-        copies = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).join(most.select(side, "shares"), side, "left")
-        copies = copies.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-        pairs = dealt.join(copies, [side, "share"]).drop("share")
-    return pairs
+        count = pairs.groupBy(side).agg(F.count("*").alias("rows"))
+        shares = cut(count.withColumn("shares", F.ceil(F.col("rows") / SHARE).cast("int")))
+        most = shares.where("shares > 1")
+        dealt = lookup(out, most, side, "rows").withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+        copies = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(side, "share")
+        columns_of = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        out = dealt.join(columns_of.join(copies, side).hint("merge"), [side, "share"]).drop("share")
+    return out
 
 
 def _with_low(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,22 +175,27 @@ def _close_sizes(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``node, shingles`` of each node that shares a bucket: its full set; written.
+def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``node, shingles`` of each of ``nodes``: its full set; written.
 
     The one time that texts are read again.  A row that stands for a node is
     known by its id and text key; how these meet is left to the planner, which
     goes by the size of the written list.
     """
-    needed = cut(nodes.join(members.select("node").distinct(), "node").select("node", "rep_id", "rep_key"))
+    needed = cut(nodes.select("node", "rep_id", "rep_key"))
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    # Repeated rows of one id and text would meet in one task; the list goes by the text key, and one row of each copy is enough.
     texts = keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
 
     def make():
         return lambda node, text: {"node": node, "shingles": [shingle_set(t, words).tobytes() for t in text]}
 
-    return cut(map_texts(texts, ["node", "text"], make, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = cut(map_texts(texts, ["node", "text"], make, "node long, shingles binary"))
+    # Rows that repeat both id and text give their node several times; only such nodes are brought together.
+    again = cut(sets.groupBy("node").count().where("count > 1").select("node"))
+    if again.isEmpty():
+        return sets
+    once = sets.join(again, "node", "left_anti")
+    return cut(once.unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])))
 
 
 def _sketches(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,9 +289,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _second_pairs(labelled: DataFrame) -> DataFrame:
-    """Nodes with the pivots of their buckets that belong to other components."""
+    """Nodes with the pivots of their ``MORE`` largest open buckets that belong to other components; step 4 sees the rest."""
     comps = labelled.select(F.col("node").alias("a"), F.col("comp").alias("pivot_comp")).distinct()
-    out = labelled.select(F.explode(F.array("pivot_1", "pivot_2")).alias("a"), F.col("node").alias("b"), "comp").distinct()
+    own = labelled.groupBy("node").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("size", "bucket", "pivot_1", "pivot_2")), asc=False).alias("buckets"))
+    some = own.select("node", "comp", F.explode(F.slice("buckets", 1, MORE)).alias("x"))
+    out = some.select(F.explode(F.array("x.pivot_1", "x.pivot_2")).alias("a"), F.col("node").alias("b"), "comp").distinct()
     return out.join(comps, "a").where("comp <> pivot_comp").select("a", "b")
 
 
@@ -294,8 +307,7 @@ def _cross_pairs(labelled: DataFrame, nodes: DataFrame, sketches: DataFrame, per
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low_block", F.least("mine", "other"))
         .withColumn("high_block", F.greatest("mine", "other"))
-        .join(nodes.select("node", "low", "n", "bands"), "node")
-        .join(sketches, "node")
+        .join(nodes.select("node", "low", "n", "bands").join(sketches, "node").hint("merge"), "node")
     )
     n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "low_block", "high_block"]
@@ -385,17 +397,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, survivor
     )
     found = lookup(placed, cut(buckets.withColumn("rows", F.col("size"))), "bucket", "rows")
     members = cut(found.where("size IS NOT NULL").select("bucket", "node", "size", "pivot_1", "pivot_2"))
-    sets = _sets(members, nodes, docs, words)
-    links = _confirm(_closest(_first_pairs(members), nodes, percent), sets, percent)
+    # All that follows is about nodes that share a bucket.
+    shared = cut(nodes.join(members.select("node").distinct(), "node", "left_semi"))
+    sets = _sets(shared, docs, words)
+    links = _confirm(_closest(_first_pairs(members), shared, percent), sets, percent)
     labels = components(links)
     labelled = _labelled(members, labels)
-    second = _confirm(_closest(_second_pairs(labelled), nodes, percent), sets, percent)
+    second = _confirm(_closest(_second_pairs(labelled), shared, percent), sets, percent)
     if not second.isEmpty():
         links = links.unionByName(second)
         labels = components(links)
         labelled = _labelled(labelled.drop("comp"), labels)
     sketches = _sketches(labelled, sets, percent)
-    last = _confirm(_cross_pairs(labelled, nodes, sketches, percent), sets, percent)
+    last = _confirm(_cross_pairs(labelled, shared, sketches, percent), sets, percent)
     if not last.isEmpty():
         labels = components(links.unionByName(last))
     marked = nodes.select("digest", "node", "rep_id", *(["rep_key"] if survivors else [])).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
