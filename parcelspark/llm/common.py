@@ -147,6 +147,27 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     return out.select(*rows.columns, *[F.coalesce(f"{mine[c]}h", f"{mine[c]}r").alias(c) for c in values])
 
 
+#: Bitmaps of 32,768 bits that ``maybe_in`` sends to each task: 8 MB.
+BITMAPS = 2048
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a hash, long) is not in the one column of ``wanted``.
+
+    A filter before a shuffle: one bit for each hash modulo ``BITMAPS * 32768``,
+    broadcast.  Its size does not depend on the data; with more keys than bits it
+    only lets more rows pass.
+    """
+    bucket, bits, place = (f"__{uuid.uuid4().hex}" for _ in range(3))
+    spread = F.pmod(F.xxhash64(key), F.lit(BITMAPS * 32768))
+    keys = wanted.toDF(key).select(F.floor(spread / 32768).cast("int").alias(bucket), F.pmod(spread, F.lit(32768)).alias(place))
+    maps = cut(keys.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits)))
+    marked = rows.withColumn(bucket, F.floor(spread / 32768).cast("int")).join(F.broadcast(maps), bucket)
+    at = F.pmod(spread, F.lit(32768)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+
+
 def without(docs: DataFrame, key: F.Column, bad: DataFrame, anti: bool = True) -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not in the one column of ``bad`` (or is, with ``anti=False``).
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import cut, lookup, map_texts, mark, release, without
+from parcelspark.llm.common import cut, lookup, map_texts, mark, maybe_in, release, without
 from parcelspark.llm.decontam import grams, word_hashes
 
 BINS = 1 << 20
@@ -179,12 +179,13 @@ def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """``node, shingles`` of each of ``nodes``: its full set; written.
 
     The one time that texts are read again.  A row that stands for a node is
-    known by its id and text key; how these meet is left to the planner, which
-    goes by the size of the written list.
+    known by its id and text key.  Texts of other rows are left out by a filter of
+    fixed size before the join, which is a merge at every size.
     """
     needed = cut(nodes.select("node", "rep_id", "rep_key"))
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    texts = keyed.join(needed, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
+    same = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))
+    texts = maybe_in(keyed, "key", needed.select("rep_key")).join(needed.hint("merge"), same).select("node", "text")
 
     def make():
         return lambda node, text: {"node": node, "shingles": [shingle_set(t, words).tobytes() for t in text]}
@@ -215,7 +216,7 @@ def _sketches(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    wanted = sets.join(labelled.select("node").distinct(), "node", "left_semi")
+    wanted = sets.join(labelled.select("node").distinct().hint("merge"), "node", "left_semi")
     return cut(map_texts(wanted, ["node", "shingles"], make, "node long, small binary, wide binary"))
 
 
