@@ -20,8 +20,8 @@ _NUMBER = r"(?P<n>one[- ]half|half|\d+(?:\.\d+)?|" + "|".join(sorted(WORDS, key=
 _AMOUNT = r"\$\s?(?P<amount>[\d,]+(?:\.\d{1,2})?)"
 _MONTHLY = r"(?:per|a|each|every)\s+month|monthly|/\s*mo(?:nth)?\b"
 FREE = [
-    re.compile(_NUMBER + r"\s+months?(?:'s?|s')?\s+(?:of\s+)?(?:free|abated|rent[- ]free)", re.I),
     re.compile(r"(?:(?P<pos>first|last)\s+)?" + _NUMBER + r"\s+months?\b[^.;]{0,40}?\b(?:free|abated|waived|rent[- ]free)\b", re.I),
+    re.compile(_NUMBER + r"\s+months?(?:'s?|s')?\s+(?:of\s+)?(?:free|abated|rent[- ]free)", re.I),
     re.compile(r"(?:abatement|waiver)\s+of\s+(?:base\s+)?rent\s+for\s+(?:the\s+)?(?:(?P<pos>first|last)\s+)?" + _NUMBER + r"\s+months?", re.I),
 ]
 RECURRING = [
@@ -98,6 +98,11 @@ def priced(leases: DataFrame, as_of: str) -> DataFrame:
     return rows.select("team_id", "lease_id", "item_no", "x.kind", months.alias("months"), F.round(value, 2).alias("total_value"), begin.alias("begins"), end.alias("ends"), state.alias("state"), "rent", "term", "x.amount", "end_date")
 
 
+def cents(c: Column) -> Column:
+    """Rounded to cents by way of a decimal, so that halves do not hang on the last bit of a division."""
+    return F.round(c.cast("decimal(18,6)"), 2).cast("double")
+
+
 def effective_rents(leases: DataFrame, as_of: str) -> DataFrame:
     """Base, net effective and current rent of leases with concessions.
 
@@ -115,10 +120,10 @@ def effective_rents(leases: DataFrame, as_of: str) -> DataFrame:
         "items",
         F.when(F.col("known"), F.round("total", 2)).alias("total_concession"),
         F.round("base", 2).alias("base_rent"),
-        F.when(known, F.round(F.col("base") - F.col("total") / F.col("term"), 2)).alias("net_effective_rent"),
+        F.when(known, cents(F.col("base") - F.col("total") / F.col("term"))).alias("net_effective_rent"),
         F.when(known, F.round(F.greatest(F.col("base") - F.col("now"), F.lit(0.0)), 2)).alias("current_rent"),
-        F.when(F.col("known"), F.round(F.col("total") / F.col("term") * 12, 2)).alias("annualized_value"),
-        F.when(F.col("known"), F.round(F.col("total") / F.col("term"), 2)).alias("monthly_value"),
+        F.when(F.col("known"), cents(F.col("total") / F.col("term") * 12)).alias("annualized_value"),
+        F.when(F.col("known"), cents(F.col("total") / F.col("term"))).alias("monthly_value"),
     )
 
 

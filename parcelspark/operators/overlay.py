@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_ROUNDS = 40
+
+
 def effective_fields(fields: DataFrame) -> DataFrame:
     """The last non-null value of each field of a base lease.
 
@@ -25,16 +28,18 @@ def provenance(fields: DataFrame) -> DataFrame:
 def version_chain(versions: DataFrame) -> DataFrame:
     """``lease_id, root_id, depth`` by following ``supersedes_lease_id`` to its end.
 
-    Doubles the known path each round, so a chain of n needs log n joins.
+    Doubles the known path each round, so a chain of n needs log n joins.  A chain
+    that runs in a circle has no root; ``MOST_ROUNDS`` doublings tell it, and raise.
     """
     steps = versions.select("lease_id", F.col("supersedes_lease_id").alias("up"), F.when(F.col("supersedes_lease_id").isNull(), 0).otherwise(1).alias("depth"))
-    while True:
+    for _ in range(MOST_ROUNDS):
         above = steps.select(F.col("lease_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         longer = steps.join(above, "up", "left").select("lease_id", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.when(F.col("further").isNotNull(), F.col("more")).otherwise(0)).alias("depth"), F.col("further").isNotNull().alias("grew"))
         longer = longer.cache()
         if longer.where("grew").isEmpty():
             return longer.select("lease_id", F.coalesce("up", "lease_id").alias("root_id"), "depth")
         steps = longer.drop("grew")
+    raise ValueError("a lease supersedes itself")
 
 
 def segments(starts: DataFrame, last_page: str = "pages") -> DataFrame:

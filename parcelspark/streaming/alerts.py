@@ -14,6 +14,8 @@ class AlertStore:
 
     ``apply`` serves as ``foreachBatch``: the batch id is the version, and a
     batch that is delivered again rewrites its own version from the one before.
+    A version whose predecessor is missing, or whose successor is there already
+    (another stream's folder), is refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -24,6 +26,14 @@ class AlertStore:
             return self.spark.createDataFrame([], ALERTS)
         return self.spark.read.schema(ALERTS).parquet(f"{self.folder}/v={version}")
 
+    def _has(self, version: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={version}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def apply(self, candidates: DataFrame, version: int, at: str = "1970-01-01") -> None:
+        if version > 0 and not self._has(version - 1):
+            raise ValueError(f"no version {version - 1} in {self.folder}")
+        if self._has(version + 1):
+            raise ValueError(f"version {version + 1} is already in {self.folder}")
         old = self.snapshot(version - 1).drop("change")
         run_alerts(old, candidates.dropDuplicates(["natural_key"]), at).write.mode("overwrite").parquet(f"{self.folder}/v={version}")

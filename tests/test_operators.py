@@ -1,6 +1,7 @@
 """Operators that SQL cannot check, and rules worth a hand-made case."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators import concessions, documents, extraction, overlay, reconcile, risks, state
@@ -115,6 +116,9 @@ def test_alert_lifecycle(spark, tmp_path):
     assert run(1, "a") == {"a": ("active", "refreshed"), "b": ("auto_resolved", "auto_resolved")}
     assert run(1, "a") == {"a": ("active", "refreshed"), "b": ("auto_resolved", "auto_resolved")}
     assert run(2, "b") == {"a": ("auto_resolved", "auto_resolved"), "b": ("active", "refreshed")}
+    for version in (0, 9):  # a folder of another stream; a missing predecessor
+        with pytest.raises(ValueError):
+            run(version, "a")
 
 
 def test_findings_keep_their_state(spark):
@@ -214,15 +218,15 @@ def test_questions(spark):
     from parcelspark.operators import questions
 
     df = spark.createDataFrame([(1, "Acme Inc", 100.0, "1999-03-01"), (2, "Bo", 300.0, "2000-06-01"), (3, "Acme West", None, None)], "lease_id int, tenant string, rent double, e string").withColumn("end_date", F.to_date("e")).withColumn("start_date", F.lit(None).cast("date")).withColumn("deposit", F.lit(1.0)).withColumn("cam", F.lit(1.0)).withColumn("sqft", F.lit(1.0))
-    ask = lambda q: questions.answer(q, df, "1999-01-31")
-    assert ask("How many leases are there?")[1].first().value == 3
-    assert ask("How many leases expire in the next 2 months?")[1].first().value == 1
-    assert [r.lease_id for r in ask("Which leases expire in the next 18 months?")[1].collect()] == [1, 2]
-    assert tuple(ask("What is the average rent?")[1].first()) == (200.0, 2)
-    kind, rows = ask("What is the rent for Acme?")
-    assert kind == "lookup" and sorted(r.lease_id for r in rows.collect()) == [1, 3]
-    assert ask("Tell me a story") == ("unsupported", None) and ask(None)[0] == "unsupported"
-    assert questions.timeframe("next one month", "1999-01-31") == ("1999-01-31", "1999-02-28")
+    texts = ["How many leases are there?", "How many leases expire in the next 2 months?", "Which leases expire in the next 18 months?", "What is the average rent?", "What is the rent for Acme?", "Tell me a story", None]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, question string")
+    got = {r.question_id: (r.kind, r.value, r.leases) for r in questions.answers(asked, df, "1999-01-31").collect()}
+    assert got[0] == ("count", 3.0, None) and got[1] == ("count", 1.0, None) and got[3] == ("aggregate", 200.0, 2)
+    assert got[5] == got[6] == ("unsupported", None, None) and got[2][0] == "list" and got[4][0] == "lookup"
+    assert sorted(r.lease_id for r in questions.listed(asked, df, "1999-01-31").collect()) == [1, 2]
+    assert sorted((r.lease_id, r.value) for r in questions.looked_up(asked, df, "1999-01-31").collect()) == [(1, "100.0"), (3, None)]
+    spans = spark.createDataFrame([("next one month",), ("within 10 days",), ("in 2027",), ("this year",), ("soon",)], "q string").select(questions.timeframe(F.col("q"), "1999-01-31").alias("t")).select("t.*")
+    assert [(str(r["first"]), str(r["last"])) for r in spans.collect()] == [("1999-01-31", "1999-02-28"), ("1999-01-31", "1999-02-10"), ("2027-01-01", "2027-12-31"), ("1999-01-31", "1999-12-31"), ("None", "None")]
 
 
 def test_lease_text(spark):
