@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import decontam, html_text, langid, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
+from parcelspark.llm import alignment, decontam, html_text, langid, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
 from parcelspark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_report(table(spark, sf_dir, "documents"))
 
 
+def op12_packed_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES = {
         op8_entropy_secret_scan,
         op9_rank_array_bpe,
         op10_indexed_records,
+        op12_packed_pair_alignment,
     )
 }
 
