@@ -127,13 +127,14 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 HOT = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, merge: bool = False) -> DataFrame:
     """``rows`` with the columns of ``table`` (one row for each ``key``; ``weight``: its rows), null where it has none.
 
     Hot keys are broadcast: at most ``HOT``, whatever the size of the tables.  The
     others join as the planner decides from the size of ``table``; where it
     shuffles, rows of hot keys and of null keys, which match nothing there, are
     dealt out by a second key, so no key takes more than its share of a task.
+    With ``merge`` they join by sorting at every size, so work grows evenly.
     """
     values = [c for c in table.columns if c not in (key, weight)]
     mine = {c: f"__{uuid.uuid4().hex}" for c in ("hot", "key", "deal", "salt", *values)}
@@ -141,6 +142,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     hot = table.where(F.col(weight) * HOT > total).select(F.col(key).alias(mine["hot"]), *[F.col(c).alias(f"{mine[c]}h") for c in values])
     rest = table.where(F.col(weight) * HOT <= total).select(F.col(key).alias(mine["key"]), F.lit(0).alias(mine["salt"]), *[F.col(c).alias(f"{mine[c]}r") for c in values])
     out = rows.join(F.broadcast(hot), F.col(key) == F.col(mine["hot"]), "left")
+    rest = rest.hint("merge") if merge else rest
     spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
     out = out.withColumn(mine["deal"], F.when(F.col(mine["hot"]).isNotNull() | F.col(key).isNull(), spread).otherwise(0).cast("int"))
     out = out.join(rest, (F.col(key) == F.col(mine["key"])) & (F.col(mine["deal"]) == F.col(mine["salt"])), "left")
@@ -151,21 +153,22 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
 BITMAPS = 2048
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, flag: str | None = None) -> DataFrame:
     """``rows`` without most of those whose ``key`` (a hash, long) is not in the one column of ``wanted``.
 
     A filter before a shuffle: one bit for each hash modulo ``BITMAPS * 32768``,
     broadcast.  Its size does not depend on the data; with more keys than bits it
-    only lets more rows pass.
+    only lets more rows pass.  With ``flag`` all rows stay, and it says which pass.
     """
     bucket, bits, place = (f"__{uuid.uuid4().hex}" for _ in range(3))
     spread = F.pmod(F.xxhash64(key), F.lit(BITMAPS * 32768))
     keys = wanted.toDF(key).select(F.floor(spread / 32768).cast("int").alias(bucket), F.pmod(spread, F.lit(32768)).alias(place))
     maps = cut(keys.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits)))
-    marked = rows.withColumn(bucket, F.floor(spread / 32768).cast("int")).join(F.broadcast(maps), bucket)
+    marked = rows.withColumn(bucket, F.floor(spread / 32768).cast("int")).join(F.broadcast(maps), bucket, "left" if flag else "inner")
     at = F.pmod(spread, F.lit(32768)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+    found = F.getbit(byte, at % 8) == 1
+    return marked.select(*rows.columns, F.coalesce(found, F.lit(False)).alias(flag)) if flag else marked.where(found).select(*rows.columns)
 
 
 def without(docs: DataFrame, key: F.Column, bad: DataFrame, anti: bool = True) -> DataFrame:

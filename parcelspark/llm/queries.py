@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import alignment, decontam, html_text, langid, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
+from parcelspark.llm import alignment, decontam, html_text, langid, line_dedup, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
 from parcelspark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_report(table(spark, sf_dir, "documents"))
 
 
+def op11_twice_seen_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op12_packed_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,21 @@ QUERIES = {
         op8_entropy_secret_scan,
         op9_rank_array_bpe,
         op10_indexed_records,
+        op11_twice_seen_line_dedup,
         op12_packed_pair_alignment,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_twice_seen_line_dedup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
+        lines AS (SELECT r, doc_id, unnest(every) AS line, generate_subscripts(every, 1) AS i FROM docs),
+        keyed AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+        repeats AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+        marked AS (SELECT k.*, p.keeper IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id < p.keeper) AS gone FROM keyed k LEFT JOIN repeats p USING (key))
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY r""",
+}
