@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import alignment, decontam, html_text, langid, line_dedup, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
+from parcelspark.llm import alignment, decontam, html_text, langid, lexical, line_dedup, minhash, prefix_counts, quality, rank_bpe, records, secrets, sharding
 from parcelspark.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_packed_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"))
 
 
+def op13_blocked_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,11 +77,14 @@ QUERIES = {
         op10_indexed_records,
         op11_twice_seen_line_dedup,
         op12_packed_pair_alignment,
+        op13_blocked_product_search,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
     "op11_twice_seen_line_dedup": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
@@ -88,4 +95,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY r""",
+    "op13_blocked_product_search": rf"""
+        WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+        d AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r),
+        s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+        q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+        p AS (SELECT term, r, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY term, r),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, docs),
+        found AS (
+            SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY i, item_id, r, doc_id
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM found WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
