@@ -98,11 +98,6 @@ def priced(leases: DataFrame, as_of: str) -> DataFrame:
     return rows.select("team_id", "lease_id", "item_no", "x.kind", months.alias("months"), F.round(value, 2).alias("total_value"), begin.alias("begins"), end.alias("ends"), state.alias("state"), "rent", "term", "x.amount", "end_date")
 
 
-def cents(c: Column) -> Column:
-    """Rounded to cents by way of a decimal, so that halves do not hang on the last bit of a division."""
-    return F.round(c.cast("decimal(18,6)"), 2).cast("double")
-
-
 def effective_rents(leases: DataFrame, as_of: str) -> DataFrame:
     """Base, net effective and current rent of leases with concessions.
 
@@ -120,10 +115,10 @@ def effective_rents(leases: DataFrame, as_of: str) -> DataFrame:
         "items",
         F.when(F.col("known"), F.round("total", 2)).alias("total_concession"),
         F.round("base", 2).alias("base_rent"),
-        F.when(known, cents(F.col("base") - F.col("total") / F.col("term"))).alias("net_effective_rent"),
+        F.when(known, parse.cents(F.col("base") - F.col("total") / F.col("term"))).alias("net_effective_rent"),
         F.when(known, F.round(F.greatest(F.col("base") - F.col("now"), F.lit(0.0)), 2)).alias("current_rent"),
-        F.when(F.col("known"), cents(F.col("total") / F.col("term") * 12)).alias("annualized_value"),
-        F.when(F.col("known"), cents(F.col("total") / F.col("term"))).alias("monthly_value"),
+        F.when(F.col("known"), parse.cents(F.col("total") / F.col("term") * 12)).alias("annualized_value"),
+        F.when(F.col("known"), parse.cents(F.col("total") / F.col("term"))).alias("monthly_value"),
     )
 
 
@@ -135,73 +130,83 @@ def ending_soon(leases: DataFrame, as_of: str, within: int = 90) -> DataFrame:
     return rows.select("team_id", "lease_id", "item_no", "kind", "ends", left.alias("days_left"), F.round(back, 2).alias("monthly_change"))
 
 
-def explained_by_concession(roll: Column, base: Column, net: Column, current: Column) -> Column:
-    """A roll's rent that differs from the base but equals the net or current rent."""
-    return parse.differs(roll, base) & (~parse.differs(roll, net) | ~parse.differs(roll, current))
-
-
-def _compared(leases: DataFrame, as_of: str) -> DataFrame:
-    """Rent-roll rows beside the documents of their unit that have not ended, and what these concede."""
-    from parcelspark.operators import reconcile
+def effective(as_of: str) -> Column:
+    """``struct<items,base,net,current,monthly,yearly,step,lost>`` of a lease with ``items`` (R20, R26), without leaving its row.
 
-    rents = effective_rents(leases.where("NOT is_rent_roll"), as_of).drop("team_id").withColumnRenamed("lease_id", "doc_lease_id")
-    own = leases.where("is_rent_roll").select(F.col("lease_id").alias("roll_lease_id"), "roll_concession")
-    rows = reconcile.pairs(leases, as_of).where(F.coalesce(F.col("doc_end_date") >= day(as_of), F.lit(True)))
-    return rows.join(rents, "doc_lease_id", "left").join(own, "roll_lease_id", "left")
+    The first five after ``items`` are NULL unless every item has a price, as in
+    ``effective_rents``.  ``step``: what comes back when active discounts end before
+    the lease does; ``lost``: that for each month after it within the term and the
+    twelve months from ``as_of``.
+    """
+    today, rent = day(as_of), F.col("rent").cast("double")
+    term = F.coalesce(parse.term_months(F.col("start_date"), F.col("end_date")), F.lit(12))
+    start, end = F.col("start_date"), F.col("end_date")
 
+    def month(c):
+        return F.year(c) * 12 + F.month(c)
 
-def _finding(rows: DataFrame, kind: str, monthly: Column, annual: Column, direction: Column) -> DataFrame:
-    return rows.select(
-        "team_id", "unit_key", "roll_lease_id", "doc_lease_id", F.lit(kind).alias("discrepancy_type"), F.lit("concessions").alias("field"),
-        F.round(monthly, 2).alias("monthly_impact"), F.round(annual, 2).alias("annual_impact"), direction.alias("income_direction"), parse.severity_of_impact(monthly).alias("severity"),
-    )
+    def item(x):
+        recurring, free = x["kind"] == "recurring_discount", x["kind"] == "free_rent"
+        months = F.when(recurring, F.coalesce(x["months"], term)).otherwise(x["months"])
+        amount = F.when(free, rent).otherwise(x["amount"])
+        whole = F.ceil(F.coalesce(months, F.lit(1.0))).cast("int")
+        late = x["position"] == "last"
+        begins = F.when(late, F.date_add(F.add_months(end, -whole), 1)).otherwise(start)
+        ends = F.when(late, end).otherwise(F.date_sub(F.add_months(start, whole), 1))
+        active = F.coalesce((begins <= today) & (today <= ends), F.lit(False))
+        burns = recurring & active & F.coalesce(ends < end, F.lit(True))
+        after = F.least(month(today) + 11, F.coalesce(month(end), month(today) + 11)) - month(ends)
+        return F.struct(
+            F.round(F.when(free | recurring, months * amount).otherwise(amount), 2).alias("total"),
+            F.when(active & (free | recurring), amount).otherwise(0.0).alias("now"),
+            F.when(burns, amount).otherwise(0.0).alias("step"),
+            F.when(burns, amount * F.greatest(F.lit(0), F.least(F.lit(12), after))).otherwise(0.0).alias("lost"),
+        )
+
+    def summed(items, name):
+        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x[name])
+
+    def whole(items):
+        known = F.forall(items, lambda x: x["total"].isNotNull())
+        total, priced_now = summed(items, "total"), known & rent.isNotNull()
+        return F.struct(
+            F.size(items).alias("items"),
+            F.round(rent, 2).alias("base"),
+            F.when(priced_now, parse.cents(rent - total / term)).alias("net"),
+            F.when(priced_now, F.round(F.greatest(rent - summed(items, "now"), F.lit(0.0)), 2)).alias("current"),
+            F.when(known, parse.cents(total / term)).alias("monthly"),
+            F.when(known, parse.cents(total / term * 12)).alias("yearly"),
+            summed(items, "step").alias("step"),
+            summed(items, "lost").alias("lost"),
+        )
+
+    return F.when(F.size("items") > 0, parse.let(F.transform("items", item), whole))
 
 
 def missing(leases: DataFrame, as_of: str) -> DataFrame:
     """The lease concedes, and the roll shows its full rent and no concession.
 
-    ``leases``: the lease columns with ``items`` (``with_items``) and, for rolls,
-    ``roll_concession`` a month, NULL where the roll has no such column.  A roll
-    that shows the net or current rent reflects the concession; one below the
-    base rent otherwise is a rent mismatch.  What has no price has no impact.
+    A roll that shows the net or current rent reflects the concession; one below
+    the base rent otherwise is a rent mismatch.  What has no price has no impact,
+    as has a clause that states a concession nobody could read.
     """
-    rows = _compared(leases, as_of).where(F.col("items").isNotNull() & (F.coalesce("roll_concession", F.lit(0.0)) == 0))
-    roll, base = F.col("roll_rent").cast("double"), F.col("base_rent")
-    reflected = explained_by_concession(roll, base, F.col("net_effective_rent"), F.col("current_rent"))
-    lower = (roll < base) & parse.differs(roll, base)
-    rows = rows.where(~F.coalesce(reflected | lower, F.lit(False)))
-    return _finding(rows, "concession_missing", F.col("monthly_value"), F.col("annualized_value"), F.lit("overstate"))
+    from parcelspark.operators import reconcile
+
+    return reconcile.findings(leases, as_of, ("concession_missing",))
 
 
 def mismatched(leases: DataFrame, as_of: str) -> DataFrame:
     """The roll shows a concession that is neither the lease's monthly share nor what is off the rent now.
 
-    A lease that concedes nothing counts as 0.
+    A lease that concedes nothing counts as 0, one that cannot be read as unknown.
     """
-    rows = _compared(leases, as_of).where(F.col("roll_concession") != 0)
-    roll = F.col("roll_concession")
-    share = F.when(F.col("items").isNull(), 0.0).otherwise(F.col("monthly_value"))
-    off = F.round(F.col("base_rent") - F.col("current_rent"), 2)
-    agrees = ~parse.differs(roll, share) | ((off != 0) & ~parse.differs(roll, off))
-    gap = share - roll
-    rows = rows.where(~F.coalesce(agrees, F.lit(False)))
-    return _finding(rows, "concession_mismatch", F.abs(gap), F.abs(gap) * 12, F.when(gap > 0, "overstate").when(gap.isNotNull(), "understate"))
-
+    from parcelspark.operators import reconcile
 
-def expiring(leases: DataFrame, as_of: str) -> DataFrame:
-    """The roll shows a discounted rent whose discount ends before the lease does.
+    return reconcile.findings(leases, as_of, ("concession_mismatch",))
 
-    The month's impact is the step up; the year's, the step for each month after
-    it within the term and the twelve months from ``as_of``.
-    """
-    today = day(as_of)
 
-    def month(c):
-        return F.year(c) * 12 + F.month(c)
+def expiring(leases: DataFrame, as_of: str) -> DataFrame:
+    """The roll shows a discounted rent whose discount ends before the lease does."""
+    from parcelspark.operators import reconcile
 
-    burning = priced(leases.where("NOT is_rent_roll"), as_of).where("kind = 'recurring_discount' AND state = 'active' AND coalesce(ends < end_date, true)")
-    after = F.least(month(today) + 11, F.coalesce(month(F.col("end_date")), month(today) + 11)) - month(F.col("ends"))
-    steps = burning.groupBy(F.col("lease_id").alias("doc_lease_id")).agg(F.sum("amount").alias("step"), F.sum(F.col("amount") * F.greatest(F.lit(0), F.least(F.lit(12), after))).alias("lost"))
-    roll, now = F.col("roll_rent").cast("double"), F.col("current_rent")
-    rows = _compared(leases, as_of).join(steps, "doc_lease_id").where((now < F.col("base_rent")) & ~parse.differs(roll, now) & (F.col("lost") > 0))
-    return _finding(rows, "concession_expiring", F.col("step"), F.col("lost"), F.lit("understate"))
+    return reconcile.findings(leases, as_of, ("concession_expiring",))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions import parse
+from parcelspark.operators.identity import same_household
 from parcelspark.operators.portfolio import day
 
 IDENTITY = ("tenant", "rent_amount", "lease_start_date", "lease_end_date", "rent_escalation")
@@ -53,79 +52,150 @@ def rent_in_effect(as_of: str) -> Column:
     yearly = F.lower("rent_escalation").rlike("annual|anniversar|each year|per year|yearly")
     text = F.col("rent_escalation").isNotNull()
     begun = today >= F.col("start_date")
-    rent = F.when(text & begun & (F.size("schedule") > 0), stepped).when(text & begun & pct.isNotNull() & yearly, F.round(base * F.pow(1 + pct / 100, year - 1), 2)).otherwise(base)
+    rent = F.when(text & begun & (F.size("schedule") > 0), stepped).when(text & begun & pct.isNotNull() & yearly, parse.cents(base * F.pow(1 + pct / 100, year - 1))).otherwise(base)
     unpriced = text & (F.col("start_date").isNull() | (begun & (F.size("schedule") == 0) & ~F.coalesce(pct.isNotNull() & yearly, F.lit(False))))
     return F.struct(rent.alias("rent"), F.coalesce(unpriced, F.lit(False)).alias("unpriced"))
 
 
+def _optional(leases: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in leases.columns else F.lit(None).cast(kind)
+
+
+def sides(leases: DataFrame, as_of: str, how: str = "full_outer") -> DataFrame:
+    """Rent-roll rows beside the operative documents of their unit, and those of either side alone.
+
+    One join feeds every detector.  ``leases`` may have ``items`` and
+    ``concessions`` (documents' clauses, ``concessions.with_items``) and
+    ``roll_concession`` (what a roll shows a month); where it has not, nothing is
+    conceded.  A unit's pairs are all its rolls with all its operative documents.
+    """
+    from parcelspark.operators import concessions
+
+    fields = ("lease_id", "tenant", "tenant_key", "rent", "start_date", "end_date")
+    roll = leases.where("is_rent_roll AND unit_key IS NOT NULL").select("team_id", "unit_key", *[F.col(f).alias(f"roll_{f}") for f in fields], _optional(leases, "roll_concession", "double").cast("double").alias("roll_concession"))
+    docs = operative_documents(leases, as_of).withColumn("effect", rent_in_effect(as_of)).withColumn("items", _optional(leases, "items", concessions.ITEM))
+    unread = (F.trim(_optional(leases, "concessions", "string")) != "") & (F.coalesce(F.size("items"), F.lit(0)) <= 0)
+    docs = docs.select(
+        "team_id", "unit_key", *[F.col(f).alias(f"doc_{f}") for f in fields], F.col("effect.rent").alias("doc_rent_now"), F.col("effect.unpriced").alias("doc_unpriced"), "other_rents",
+        concessions.effective(as_of).alias("conceded"), F.coalesce(unread, F.lit(False)).alias("unreadable"),
+    )
+    return roll.join(docs, ["team_id", "unit_key"], how)
+
+
 def pairs(leases: DataFrame, as_of: str) -> DataFrame:
     """Rent-roll rows joined with the operative documents of their unit."""
-    fields = ("lease_id", "tenant", "tenant_key", "rent", "start_date", "end_date")
-    roll = leases.where("is_rent_roll AND unit_key IS NOT NULL").select("team_id", "unit_key", *[F.col(f).alias(f"roll_{f}") for f in fields])
-    docs = operative_documents(leases, as_of).withColumn("effect", rent_in_effect(as_of))
-    docs = docs.select("team_id", "unit_key", *[F.col(f).alias(f"doc_{f}") for f in fields], F.col("effect.rent").alias("doc_rent_now"), F.col("effect.unpriced").alias("doc_unpriced"), "other_rents")
-    return roll.join(docs, ["team_id", "unit_key"])
+    return sides(leases, as_of, "inner")
 
 
-def roll_mismatches(leases: DataFrame, as_of: str, same_tenant=None) -> DataFrame:
-    """Tenant, rent and end-date disagreements.
+def other_household() -> Column:
+    """Whether a pair's tenants are of two households (J8); unknown names are not."""
+    known = F.col("roll_tenant_key").isNotNull() & F.col("doc_tenant_key").isNotNull()
+    return known & (F.col("roll_tenant_key") != F.col("doc_tenant_key")) & ~same_household(F.col("roll_tenant"), F.col("doc_tenant"))
 
-    ``same_tenant(a, b)`` decides between unequal names; by default the keys do.
-    """
-    same = same_tenant or (lambda a, b: a == b)
+
+def reflects_concession(roll: Column) -> Column:
+    """Whether a roll's rent is what the lease's concessions leave, now or over the term, rather than its base rent."""
+    base = F.col("conceded.base")
+    left = [(c.isNotNull() & parse.differs(c, base) & ~parse.differs(roll, c)) for c in (F.col("conceded.current"), F.col("conceded.net"))]
+    return F.coalesce(left[0], F.lit(False)) | F.coalesce(left[1], F.lit(False))
+
+
+def roll_mismatches(leases: DataFrame, as_of: str) -> DataFrame:
+    """Tenant, rent and end-date disagreements (R14): names of one household agree, as do rents that a concession explains."""
     a, b = F.col("roll_rent").cast("double"), F.col("doc_rent").cast("double")
-    tests = {
-        "tenant": F.col("roll_tenant_key").isNotNull() & F.col("doc_tenant_key").isNotNull() & ~same(F.col("roll_tenant_key"), F.col("doc_tenant_key")),
-        "rent_amount": parse.differs(a, b),
-        "lease_end_date": F.col("roll_end_date") != F.col("doc_end_date"),
-    }
+    tests = {"tenant": other_household(), "rent_amount": parse.differs(a, b) & ~reflects_concession(a), "lease_end_date": F.col("roll_end_date") != F.col("doc_end_date")}
     found = F.filter(F.array(*[F.when(t, F.lit(f)) for f, t in tests.items()]), lambda x: x.isNotNull())
     return pairs(leases, as_of).select("team_id", "unit_key", "roll_lease_id", "doc_lease_id", F.explode(found).alias("field"))
 
 
-def rent_findings(leases: DataFrame, as_of: str) -> DataFrame:
-    """Rolls' rents against the rent in effect, with impact and direction.
+def _detectors(as_of: str) -> dict[str, list[tuple]]:
+    """For each kind its findings about a row of ``sides``: condition, field, monthly and annual impact, direction, severity.
 
-    A rent that matches an older version of the lease, or lies above a lease
-    whose escalation has no price, has unknown impact.
+    An annual impact of None is twelve months; a severity of None goes by the month.
     """
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     a, b = F.col("roll_rent").cast("double"), F.col("doc_rent_now")
-    rows = pairs(leases, as_of).where(parse.differs(a, b))
+    both = F.col("roll_lease_id").isNotNull() & F.col("doc_lease_id").isNotNull()
+    today = day(as_of)
+    runs = both & F.coalesce(F.col("doc_end_date") >= today, F.lit(True))
+
+    # A rent of an older version, or above an escalation without a price, has unknown impact
     older = F.exists("other_rents", lambda r: ~parse.differs(a, r.cast("double")))
     known = ~(older | (F.col("doc_unpriced") & (a > b)))
-    monthly = F.when(known, F.round(F.abs(a - b), 2))
-    return rows.select(
-        "team_id",
-        "unit_key",
-        "roll_lease_id",
-        "doc_lease_id",
-        F.lit("rent_mismatch").alias("discrepancy_type"),
-        F.lit("rent_amount").alias("field"),
-        monthly.alias("monthly_impact"),
-        F.round(monthly * 12, 2).alias("annual_impact"),
-        F.when(known, F.when(a > b, "overstate").otherwise("understate")).alias("income_direction"),
-        F.when(known, parse.severity_of_impact(F.abs(a - b))).otherwise("medium").alias("severity"),
-    )
+    gap = F.when(known, F.round(F.abs(a - b), 2))
+    rent = (both & parse.differs(a, b) & ~reflects_concession(a), "rent_amount", gap, None, F.when(known, F.when(a > b, "overstate").otherwise("understate")), F.when(known, parse.severity_of_impact(F.abs(a - b))).otherwise("medium"))
+
+    expired = (both & (F.col("doc_end_date") < today) & F.col("roll_tenant").isNotNull(), "lease_end_date", F.round(a, 2), None, F.lit("overstate"), None)
+
+    c = F.col("conceded")
+    shown, grants = F.coalesce("roll_concession", F.lit(0.0)), F.coalesce(c["items"] > 0, F.lit(False))
+    lower = F.coalesce((a < c["base"]) & parse.differs(a, c["base"]), F.lit(False))
+    missing = (runs & grants & (shown <= 0) & ~reflects_concession(a) & ~lower, "concessions", c["monthly"], c["yearly"], F.lit("overstate"), None)
+    unpriced = (runs & F.col("unreadable") & (shown <= 0), "concessions", none, none, F.lit("overstate"), F.lit("medium"))
+
+    share = F.when(grants, c["monthly"]).when(~F.col("unreadable"), 0.0)
+    off = F.round(c["base"] - c["current"], 2)
+    agrees = F.coalesce(~parse.differs(shown, share), F.lit(False)) | F.coalesce((off != 0) & ~parse.differs(shown, off), F.lit(False))
+    apart = share - shown
+    booked = (runs & (shown != 0) & ~agrees, "concessions", F.abs(apart), F.abs(apart) * 12, F.when(apart > 0, "overstate").when(apart.isNotNull(), "understate"), None)
+
+    ending = (runs & (c["current"] < c["base"]) & ~parse.differs(a, c["current"]) & (c["lost"] > 0), "concessions", c["step"], c["lost"], F.lit("understate"), None)
+
+    dates = [(both & (F.col(f"roll_{f}") != F.col(f"doc_{f}")), f"lease_{f}", none, none, text, F.lit("medium")) for f in ("start_date", "end_date")]
+    d = F.col("doc_rent").cast("double")
+    return {
+        "rent_mismatch": [rent],
+        "expired_but_occupied": [expired],
+        "unit_no_lease": [(F.col("doc_lease_id").isNull(), "presence", F.round(a, 2), None, text, None)],
+        "lease_no_unit": [(F.col("roll_lease_id").isNull(), "presence", F.round(d, 2), None, F.when(d.isNotNull(), "understate"), None)],
+        "concession_missing": [missing, unpriced],
+        "concession_mismatch": [booked],
+        "concession_expiring": [ending],
+        "dates_mismatch": dates,
+        "tenant_mismatch": [(both & other_household(), "tenant", none, none, text, F.lit("high"))],
+    }
+
+
+FINDING = ("team_id", "unit_key", "roll_lease_id", "doc_lease_id", "discrepancy_type", "field", "monthly_impact", "annual_impact", "income_direction", "severity")
+
+
+def _exploded(rows: DataFrame, keys: tuple, found: dict[str, list[tuple]]) -> DataFrame:
+    """One row for each finding about a row: the detectors are elements of one array."""
+
+    def finding(kind, test, field, monthly, annual, direction, severity):
+        yearly = F.round(monthly * 12 if annual is None else annual, 2)
+        severity = parse.severity_of_impact(monthly) if severity is None else severity
+        return F.when(test, F.struct(F.lit(kind).alias("discrepancy_type"), F.lit(field).alias("field"), F.round(monthly, 2).alias("monthly_impact"), yearly.alias("annual_impact"), direction.alias("income_direction"), severity.alias("severity")))
+
+    every = F.array(*[finding(kind, *f) for kind, each in found.items() for f in each])
+    return rows.select(*keys, F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
+
+
+def findings(leases: DataFrame, as_of: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings of ``kinds``, by default all nine, from one join of rolls and documents."""
+    every = _detectors(as_of)
+    alone = kinds is None or "unit_no_lease" in kinds or "lease_no_unit" in kinds
+    rows = sides(leases, as_of, "full_outer" if alone else "inner")
+    return _exploded(rows, FINDING[:4], {k: every[k] for k in kinds or every})
+
+
+def rent_findings(leases: DataFrame, as_of: str) -> DataFrame:
+    """Rolls' rents against the rent in effect, with impact and direction.
+
+    A rent that a concession explains agrees; one that matches an older version of
+    the lease, or lies above a lease whose escalation has no price, has unknown impact.
+    """
+    return findings(leases, as_of, ("rent_mismatch",))
 
 
 def expired_but_occupied(leases: DataFrame, as_of: str) -> DataFrame:
     """Rolls with a tenant where the operative document has ended."""
-    rows = pairs(leases, as_of).where((F.col("doc_end_date") < day(as_of)) & F.col("roll_tenant").isNotNull())
-    monthly = F.round(F.col("roll_rent").cast("double"), 2)
-    return _finding(rows, "expired_but_occupied", "lease_end_date", monthly, F.lit("overstate"), parse.severity_of_impact(monthly))
+    return findings(leases, as_of, ("expired_but_occupied",))
 
 
 def date_and_tenant_findings(leases: DataFrame, as_of: str) -> DataFrame:
-    """Start dates, end dates and tenants that disagree."""
-    rows = pairs(leases, as_of)
-    none = F.lit(None).cast("double")
-    parts = [_finding(rows.where(F.col(f"roll_{f}") != F.col(f"doc_{f}")), "dates_mismatch", f"lease_{f}", none, F.lit(None).cast("string"), F.lit("medium")) for f in ("start_date", "end_date")]
-    parts.append(_finding(rows.where("roll_tenant_key <> doc_tenant_key"), "tenant_mismatch", "tenant", none, F.lit(None).cast("string"), F.lit("high")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _finding(rows, kind, field, monthly, direction, severity):
-    return rows.select("team_id", "unit_key", "roll_lease_id", "doc_lease_id", F.lit(kind).alias("discrepancy_type"), F.lit(field).alias("field"), monthly.alias("monthly_impact"), F.round(monthly * 12, 2).alias("annual_impact"), direction.alias("income_direction"), severity.alias("severity"))
+    """Start dates, end dates and households that disagree."""
+    return findings(leases, as_of, ("dates_mismatch", "tenant_mismatch"))
 
 
 def presence(leases: DataFrame) -> DataFrame:
@@ -137,15 +207,40 @@ def presence(leases: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def report(leases: DataFrame, as_of: str) -> DataFrame:
-    """All findings of one report."""
-    none = F.lit(None)
-    here = presence(leases).select(
-        "team_id", "unit_key",
-        F.when(F.col("discrepancy_type") == "unit_no_lease", F.col("lease_id")).alias("roll_lease_id"), F.when(F.col("discrepancy_type") == "lease_no_unit", F.col("lease_id")).alias("doc_lease_id"),
-        "discrepancy_type", F.lit("lease").alias("field"), none.cast("double").alias("monthly_impact"), none.cast("double").alias("annual_impact"), none.cast("string").alias("income_direction"), F.lit("medium").alias("severity"),
-    )
-    return reduce(DataFrame.unionByName, (rent_findings(leases, as_of), expired_but_occupied(leases, as_of), date_and_tenant_findings(leases, as_of), here))
+def statement_findings(leases: DataFrame, statements: DataFrame, bad_debt: DataFrame, least: float = 5.0, rise: float = 25.0) -> DataFrame:
+    """Rolls of a building against its statement (R22): income gap, occupancy, concessions, and bad debt that rises in a full house.
+
+    ``statements``: see ``t12_income_gap``; ``bad_debt``: team_id, building_key,
+    month_idx (oldest first) and amount, of which a building needs twelve.
+    ``unit_key`` of a finding is the building's key.
+    """
+    key = ["team_id", "building_key"]
+    rolls = leases.where("is_rent_roll AND building_key IS NOT NULL").groupBy(*key).agg((F.sum("rent") * 12).cast("double").alias("roll"), F.count("tenant").alias("occupied"), F.count("*").alias("units"))
+    magnitude = F.abs(F.col("amount").cast("double"))
+    months = bad_debt.where("amount IS NOT NULL").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("month_idx", magnitude.alias("amount")))).alias("m"))
+    mean = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["amount"]) / F.size("m")
+    last = F.aggregate(F.slice("m", -3, 3), F.lit(0.0), lambda acc, x: acc + x["amount"]) / 3
+    debts = months.where(F.size("m") >= 12).select(*key, mean.alias("mean"), last.alias("last"))
+    rows = statements.join(rolls, key).join(debts, key, "left")
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    gap = F.col("roll") - F.col("rental_income")
+    shares = F.col("occupied") / F.col("units") * 100 - (1 - F.try_divide(F.abs("vacancy_loss"), F.abs("gross_potential"))) * 100
+    return _exploded(
+        rows.withColumn("unit_key", F.col("building_key")).withColumns({c: F.lit(None).cast("long") for c in FINDING[2:4]}),
+        FINDING[:4],
+        {
+            "t12_income_gap": [((gap > 0) & (gap / F.greatest("roll", "rental_income") * 100 > least), "rental_income_collected", gap / 12, gap, F.lit("overstate"), None)],
+            "t12_occupancy_mismatch": [(F.abs(shares) > least, "occupancy_rate", none, none, text, F.lit("medium"))],
+            "t12_concession_gap": [(F.round(F.abs("concessions"), 2) > 0, "concessions", none, none, text, F.lit("low"))],
+            "t12_bad_debt_trend": [((F.col("mean") > 0) & ((F.col("last") - F.col("mean")) / F.nullif("mean", F.lit(0.0)) * 100 > rise) & (F.col("occupied") >= F.col("units")), "bad_debt_trend", none, none, text, F.lit("medium"))],
+        },
+    )
+
+
+def report(leases: DataFrame, as_of: str, statements: DataFrame | None = None, bad_debt: DataFrame | None = None) -> DataFrame:
+    """All findings of one report (R23, T1): nine detectors on one join, and with a statement four more on another."""
+    found = findings(leases, as_of)
+    return found if statements is None else found.unionByName(statement_findings(leases, statements, bad_debt))
 
 
 def impact_totals(findings: DataFrame) -> DataFrame:

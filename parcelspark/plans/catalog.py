@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.functions import keys
 from parcelspark.operators import activity, concessions, documents, extraction, history, identity, lease_text, overlay, portfolio, reconcile, risks, state
 from parcelspark.plans.project import AS_OF, FIELDS, LEASE_SQL, leases, read
 from parcelspark.sources import sinks
@@ -279,7 +280,7 @@ OPERATIVE_SQL = f"""d0 AS (SELECT *, count(*) OVER (PARTITION BY team_id, unit_k
  d2 AS (SELECT *, bool_or(covers) OVER (PARTITION BY team_id, unit_key) AS any_cover, row_number() OVER (PARTITION BY team_id, unit_key ORDER BY start_date DESC NULLS LAST, lease_id) AS latest FROM d1),
  d3 AS (SELECT *, max(lease_id) OVER (PARTITION BY team_id, unit_key, tenant, start_date, end_date) AS newest FROM d2 WHERE n = 1 OR CASE WHEN any_cover THEN covers ELSE latest = 1 END),
  lyear AS (SELECT *, CASE WHEN year(DATE '{AS_OF}') - year(start_date) - (month(DATE '{AS_OF}') * 100 + day(DATE '{AS_OF}') < month(start_date) * 100 + day(start_date))::INT + 1 IS NULL THEN 1 ELSE year(DATE '{AS_OF}') - year(start_date) - (month(DATE '{AS_OF}') * 100 + day(DATE '{AS_OF}') < month(start_date) * 100 + day(start_date))::INT + 1 END AS ly FROM d3 WHERE NOT (any_cover AND n > 1) OR lease_id = newest),
- operative AS (SELECT *, CASE WHEN DATE '{AS_OF}' >= start_date AND has_schedule THEN CASE WHEN ly >= 4 THEN y4 WHEN ly = 3 THEN y3 WHEN ly = 2 THEN y2 ELSE y1 END::DOUBLE WHEN DATE '{AS_OF}' >= start_date AND stated_pct IS NOT NULL THEN round(rent::DOUBLE * pow(1 + stated_pct / 100, ly - 1), 2) ELSE rent::DOUBLE END AS rent_now FROM lyear),
+ operative AS (SELECT *, CASE WHEN DATE '{AS_OF}' >= start_date AND has_schedule THEN CASE WHEN ly >= 4 THEN y4 WHEN ly = 3 THEN y3 WHEN ly = 2 THEN y2 ELSE y1 END::DOUBLE WHEN DATE '{AS_OF}' >= start_date AND stated_pct IS NOT NULL THEN round(CAST(rent::DOUBLE * pow(1 + stated_pct / 100, ly - 1) AS DECIMAL(18,6)), 2)::DOUBLE ELSE rent::DOUBLE END AS rent_now FROM lyear),
  pairs AS (SELECT r.team_id, r.unit_key, r.lease_id AS roll_lease_id, o.lease_id AS doc_lease_id, r.tenant AS rt, o.tenant AS dt, r.rent::DOUBLE AS rr, o.rent::DOUBLE AS dr, o.rent_now AS dn, r.start_date AS rs, o.start_date AS ds, r.end_date AS re, o.end_date AS de
    FROM leases r JOIN operative o ON r.team_id = o.team_id AND r.unit_key = o.unit_key WHERE r.is_rent_roll)"""
 
@@ -290,10 +291,23 @@ def operative_documents(spark, sf_dir):
     return docs.select("team_id", "unit_key", "lease_id", reconcile.rent_in_effect(AS_OF)["rent"].alias("rent_now"))
 
 
-@query(OPERATIVE_SQL + """ SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'tenant' AS field FROM pairs WHERE rt <> dt UNION ALL SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'rent_amount' FROM pairs WHERE abs(rr - dr) > 5 AND abs(rr - dr) * 100 / greatest(rr, dr) > 1
+def households(rows: DataFrame) -> DataFrame:
+    """The same leases with their tenants written in four ways, by the lease: in order, by surname, with an initial, and beside a partner."""
+    digits = F.regexp_extract("tenant", "([0-9]+)$", 1)
+    first, last = (F.initcap(F.concat(F.lit(p), F.translate(digits, "0123456789", letters))) for p, letters in (("mo", "abcdefghij"), ("ra", "klmnoprstu")))
+    k = F.col("lease_id") % 4
+    name = F.when(k == 0, F.concat_ws(" ", first, last)).when(k == 1, F.concat_ws(", ", last, first)).when(k == 2, F.upper(F.concat_ws(" ", first, F.lit("Q."), last))).otherwise(F.concat(first, F.lit(" "), last, F.lit(" & Zoe Partner")))
+    return rows.withColumn("tenant", F.when(F.col("tenant").isNotNull(), name)).withColumn("tenant_key", keys.name_key("tenant"))
+
+
+#: Versions of a lease are of one way to write its tenant; the names in ``pairs`` stay those of the customers, each a household.
+HOUSEHOLD_SQL = OPERATIVE_SQL.replace("unit_key, tenant, ", "unit_key, tenant, lease_id % 4, ")
+
+
+@query(HOUSEHOLD_SQL + """ SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'tenant' AS field FROM pairs WHERE rt <> dt UNION ALL SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'rent_amount' FROM pairs WHERE abs(rr - dr) > 5 AND abs(rr - dr) * 100 / greatest(rr, dr) > 1
  UNION ALL SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'lease_end_date' FROM pairs WHERE re <> de""")
 def rent_roll_reconciliation(spark, sf_dir):
-    return reconcile.roll_mismatches(leases(spark, sf_dir), AS_OF)
+    return reconcile.roll_mismatches(households(leases(spark, sf_dir)), AS_OF)
 
 
 FINDING_SQL = OPERATIVE_SQL + """, found AS (SELECT team_id, unit_key, roll_lease_id, doc_lease_id, 'rent_mismatch' AS discrepancy_type, 'rent_amount' AS field, round(abs(rr - dn), 2) AS monthly_impact, round(round(abs(rr - dn), 2) * 12, 2) AS annual_impact,
@@ -316,9 +330,9 @@ def expired_but_occupied(spark, sf_dir):
     return reconcile.expired_but_occupied(leases(spark, sf_dir), AS_OF)
 
 
-@query(FINDING_SQL + " SELECT * FROM dated")
+@query(FINDING_SQL.replace(OPERATIVE_SQL, HOUSEHOLD_SQL) + " SELECT * FROM dated")
 def date_and_tenant_mismatches(spark, sf_dir):
-    return reconcile.date_and_tenant_findings(leases(spark, sf_dir), AS_OF)
+    return reconcile.date_and_tenant_findings(households(leases(spark, sf_dir)), AS_OF)
 
 
 @query(FINDING_SQL + " SELECT * FROM alone")
@@ -326,14 +340,6 @@ def presence_check(spark, sf_dir):
     return reconcile.presence(leases(spark, sf_dir))
 
 
-@query(FINDING_SQL + """, every AS (SELECT team_id, discrepancy_type, annual_impact, income_direction, severity FROM found UNION ALL SELECT team_id, discrepancy_type, annual_impact, income_direction, severity FROM gone UNION ALL SELECT team_id, discrepancy_type, annual_impact, income_direction, severity FROM dated
-   UNION ALL SELECT team_id, discrepancy_type, NULL, NULL, 'medium' FROM alone)
- SELECT team_id, discrepancy_type, count(*) AS n, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low, CAST(sum(CAST(annual_impact AS DECIMAL(18,2))) AS DOUBLE) AS annual_impact,
- CAST(sum(CASE income_direction WHEN 'overstate' THEN CAST(annual_impact AS DECIMAL(18,2)) WHEN 'understate' THEN -CAST(annual_impact AS DECIMAL(18,2)) END) AS DOUBLE) AS signed_impact FROM every GROUP BY team_id, discrepancy_type""")
-def mismatch_report_totals(spark, sf_dir):
-    return reconcile.impact_totals(reconcile.report(leases(spark, sf_dir), AS_OF))
-
-
 @query("""r AS (SELECT *, row_number() OVER (PARTITION BY team_id, unit_key ORDER BY is_rent_roll, uploaded_at DESC, lease_id DESC) AS place FROM leases) SELECT team_id, unit_key, lease_id, is_rent_roll FROM r WHERE place = 1""")
 def financial_scope(spark, sf_dir):
     return reconcile.financial_scope(leases(spark, sf_dir)).select("team_id", "unit_key", "lease_id", "is_rent_roll")
@@ -686,11 +692,14 @@ def rate_limit_admissions(spark, sf_dir):
     return limits.admissions(read(spark, sf_dir, "events"), 3, 3600.0)
 
 
-def conceded(spark, sf_dir) -> DataFrame:
-    """Leases with clauses of four shapes."""
+def clause() -> F.Column:
+    """Clauses of four shapes, by the lease."""
     k = F.col("lease_id") % 5
-    clause = F.when(k == 1, "Landlord grants two (2) months free rent.").when(k == 2, "Tenant receives a monthly rent credit of $150.00 for the first 6 months.").when(k == 3, "One-time concession of $500 at move-in. No months of free rent apply.").when(k == 4, "Last 1 month free.")
-    return concessions.with_items(leases(spark, sf_dir).withColumn("concessions", clause))
+    return F.when(k == 1, "Landlord grants two (2) months free rent.").when(k == 2, "Tenant receives a monthly rent credit of $150.00 for the first 6 months.").when(k == 3, "One-time concession of $500 at move-in. No months of free rent apply.").when(k == 4, "Last 1 month free.")
+
+
+def conceded(spark, sf_dir) -> DataFrame:
+    return concessions.with_items(leases(spark, sf_dir).withColumn("concessions", clause()))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.operators import concessions, questions, reconcile
 from parcelspark.plans import catalog
-from parcelspark.plans.catalog import FINDING_SQL, SQL, conceded, query
+from parcelspark.plans.catalog import FINDING_SQL, SQL, clause, conceded, query
 from parcelspark.plans.project import AS_OF, LEASE_SQL, leases, read
 
 #: A day by which most terms have ended.
@@ -104,6 +104,70 @@ def t12_concessions(spark, sf_dir):
     return reconcile.t12_concessions(yearly_statements(spark, sf_dir))
 
 
+# --- the whole report ----------------------------------------------------------------------------
+
+
+def reported(spark, sf_dir) -> DataFrame:
+    """Documents, each the only one of its unit, with clauses of five shapes; rolls for a third of them, and some alone.
+
+    Rolls write the same household in another way than documents, but for some
+    that name another; their rents and dates agree, or are off in several ways.
+    """
+    k = F.col("lease_id")
+    stranger = F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
+    stated = F.when(k % 10 == 0, "Concessions as agreed between the parties.").otherwise(clause())
+    docs = leases(spark, sf_dir).where("NOT is_rent_roll").withColumns({"unit_key": F.concat(F.lit("u"), k.cast("string")), "roll_concession": F.lit(None).cast("double"), "concessions": stated})
+    rent = F.when(k % 4 == 1, F.col("rent") - 150).when(k % 4 == 3, F.col("rent") * 2).otherwise(F.col("rent")).cast("decimal(18,2)")
+    shown = F.when(k % 7 == 1, 0.0).when(k % 7 == 2, 150.0).when(k % 7 == 3, 75.0).when(k % 7 == 5, 40.0)
+    tenant = F.when(k % 11 == 1, stranger).when(F.col("team_id") % 2 == 0, F.coalesce("tenant", stranger)).otherwise(F.col("tenant"))
+    dates = {"start_date": F.date_add("start_date", (k % 13 == 1).cast("int")), "end_date": F.date_add("end_date", (k % 17 == 1).cast("int"))}
+    rolls = docs.withColumns({"rent": rent, "tenant": tenant, "roll_concession": shown, "is_rent_roll": F.lit(True), "concessions": F.lit(None).cast("string"), **dates})
+    met = rolls.where(k % 3 == 1).withColumn("lease_id", k + 1_000_000_001)
+    alone = rolls.where((k % 3 == 2) & (k % 5 == 1)).withColumns({"lease_id": k + 2_000_000_001, "unit_key": F.concat(F.lit("x"), k.cast("string"))})
+    return concessions.with_items(catalog.households(docs.unionByName(met).unionByName(alone)))
+
+
+def bad_debts(spark, sf_dir) -> DataFrame:
+    """Twelve months of a building's bad debt, rising in some teams."""
+    rows = leases(spark, sf_dir).groupBy("team_id", "building_key", F.month("start_date").alias("month_idx")).agg(F.sum("cam").cast("double").alias("c"))
+    return rows.select("team_id", "building_key", "month_idx", (F.col("c") * (1 + F.col("month_idx") * F.col("team_id") * 0.08)).alias("amount"))
+
+
+_ROLL = """'u' || lease_id AS unit_key, lease_id + 1000000001 AS lease_id, TRUE AS is_rent_roll, CASE WHEN lease_id % 11 = 1 OR (team_id % 2 = 0 AND tenant IS NULL) THEN 'Customer#' || lpad(CAST(lease_id AS VARCHAR), 9, '0') ELSE tenant END AS tenant,
+   CASE lease_id % 4 WHEN 1 THEN rent - 150 WHEN 3 THEN CAST(rent * 2 AS DECIMAL(18,2)) ELSE rent END AS rent, start_date + (lease_id % 13 = 1)::INT AS start_date, end_date + (lease_id % 17 = 1)::INT AS end_date"""
+_REFLECTS = f"(coalesce(cur IS NOT NULL AND {_differs('cur', 'base')} AND NOT {_differs('rr', 'cur')}, FALSE) OR coalesce(net IS NOT NULL AND {_differs('net', 'base')} AND NOT {_differs('rr', 'net')}, FALSE))"
+REPORT_SQL = CONCEDED + f""", deal_leases AS (SELECT * REPLACE ('u' || lease_id AS unit_key) FROM leases WHERE NOT is_rent_roll UNION ALL SELECT * REPLACE ({_ROLL}) FROM leases WHERE NOT is_rent_roll AND lease_id % 3 = 1
+   UNION ALL SELECT * REPLACE ({_ROLL.replace("'u' ||", "'x' ||").replace("+ 1000000001", "+ 2000000001")}) FROM leases WHERE NOT is_rent_roll AND lease_id % 3 = 2 AND lease_id % 5 = 1),
+ """ + catalog.HOUSEHOLD_SQL.replace("FROM leases", "FROM deal_leases") + f""", p AS (SELECT pairs.*, CASE doc_lease_id % 7 WHEN 1 THEN 0.0 WHEN 2 THEN 150.0 WHEN 3 THEN 75.0 WHEN 5 THEN 40.0 ELSE 0.0 END::DOUBLE AS rc, doc_lease_id % 10 = 0 AS unread, coalesce(de >= DATE '{AS_OF}', TRUE) AS runs, e.c, e.base, e.net, e.cur, e.yearly, e.monthly, e.active, e.ends, CASE WHEN e.c IS NOT NULL THEN e.monthly WHEN doc_lease_id % 10 <> 0 THEN 0.0 END AS share, round(e.base - e.cur, 2) AS off FROM pairs LEFT JOIN eff e ON doc_lease_id = e.lease_id),
+ y2 AS (SELECT *, CASE WHEN c = 2 AND active AND coalesce(ends < de, TRUE) THEN 150.0 ELSE 0.0 END AS step FROM p),
+ z AS (SELECT *, step * greatest(0, least(12, least(1999 * 12 + 12, coalesce(year(de) * 12 + month(de), 1999 * 12 + 12)) - (year(ends) * 12 + month(ends)))) AS lost FROM y2),
+ """ + YEARLY + """, u2 AS (SELECT team_id, building_key, (sum(rent) * 12)::DOUBLE AS roll, count(tenant) AS occ, count(*) AS units FROM deal_leases WHERE is_rent_roll GROUP BY team_id, building_key),
+ bm AS (SELECT team_id, building_key, month(start_date) AS mo, sum(cam)::DOUBLE * (1 + month(start_date) * team_id * 0.08::DOUBLE) AS amount FROM leases WHERE cam IS NOT NULL GROUP BY team_id, building_key, month(start_date)),
+ bd AS (SELECT team_id, building_key, avg(amount) AS mean, avg(amount) FILTER (mo > 9) AS last FROM bm GROUP BY team_id, building_key HAVING count(*) >= 12),
+ tw AS (SELECT team_id, building_key, roll, income, given, gross, occ, units, occ * 100.0::DOUBLE / units - (1 - abs(vacancy) / nullif(abs(gross), 0)) * 100 AS shares, mean, last FROM y JOIN u2 USING (team_id, building_key) LEFT JOIN bd USING (team_id, building_key)),
+ every AS (SELECT team_id, 'rent_mismatch' AS kind, round(abs(rr - dn), 2) AS m, round(round(abs(rr - dn), 2) * 12, 2) AS a, CASE WHEN rr > dn THEN 'overstate' ELSE 'understate' END AS dir, NULL AS sev FROM z WHERE """ + f"""{_differs('rr', 'dn')} AND NOT {_REFLECTS}
+   UNION ALL SELECT team_id, 'expired_but_occupied', rr, round(rr * 12, 2), 'overstate', NULL FROM z WHERE de < DATE '{AS_OF}' AND rt IS NOT NULL
+   UNION ALL SELECT team_id, 'unit_no_lease', rent::DOUBLE, round(rent::DOUBLE * 12, 2), NULL, NULL FROM deal_leases WHERE unit_key[1] = 'x'
+   UNION ALL SELECT team_id, 'lease_no_unit', rent::DOUBLE, round(rent::DOUBLE * 12, 2), CASE WHEN rent IS NOT NULL THEN 'understate' END, NULL FROM deal_leases WHERE NOT is_rent_roll AND lease_id % 3 <> 1
+   UNION ALL SELECT team_id, 'concession_missing', monthly, round(yearly, 2), 'overstate', NULL FROM z WHERE runs AND c IS NOT NULL AND rc = 0 AND NOT {_REFLECTS} AND NOT coalesce(rr < base AND {_differs('rr', 'base')}, FALSE)
+   UNION ALL SELECT team_id, 'concession_missing', NULL, NULL, 'overstate', 'medium' FROM z WHERE runs AND unread AND rc = 0
+   UNION ALL SELECT team_id, 'concession_mismatch', round(abs(share - rc), 2), round(abs(share - rc) * 12, 2), CASE WHEN share > rc THEN 'overstate' WHEN share <= rc THEN 'understate' END, NULL FROM z WHERE runs AND rc <> 0 AND NOT coalesce(NOT {_differs('rc', 'share')}, FALSE) AND NOT coalesce(off <> 0 AND NOT {_differs('rc', 'off')}, FALSE)
+   UNION ALL SELECT team_id, 'concession_expiring', step, round(lost, 2), 'understate', NULL FROM z WHERE runs AND cur < base AND NOT {_differs('rr', 'cur')} AND lost > 0
+   UNION ALL SELECT team_id, 'dates_mismatch', NULL, NULL, NULL, 'medium' FROM z WHERE rs <> ds UNION ALL SELECT team_id, 'dates_mismatch', NULL, NULL, NULL, 'medium' FROM z WHERE re <> de UNION ALL SELECT team_id, 'tenant_mismatch', NULL, NULL, NULL, 'high' FROM z WHERE rt <> dt
+   UNION ALL SELECT team_id, 't12_income_gap', (roll - income) / 12, round(roll - income, 2), 'overstate', NULL FROM tw WHERE roll > income AND (roll - income) / greatest(roll, income) * 100 > 5
+   UNION ALL SELECT team_id, 't12_occupancy_mismatch', NULL, NULL, NULL, 'medium' FROM tw WHERE abs(shares) > 5 UNION ALL SELECT team_id, 't12_concession_gap', NULL, NULL, NULL, 'low' FROM tw WHERE round(abs(given), 2) > 0
+   UNION ALL SELECT team_id, 't12_bad_debt_trend', NULL, NULL, NULL, 'medium' FROM tw WHERE mean > 0 AND (last - mean) / mean * 100 > 25 AND occ >= units),
+ rated AS (SELECT *, coalesce(sev, {_severity('m')}) AS severity FROM every)"""
+
+
+@query(REPORT_SQL + """ SELECT team_id, kind AS discrepancy_type, count(*) AS n, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low, CAST(sum(CAST(a AS DECIMAL(18,2))) AS DOUBLE) AS annual_impact,
+ CAST(sum(CASE dir WHEN 'overstate' THEN CAST(a AS DECIMAL(18,2)) WHEN 'understate' THEN -CAST(a AS DECIMAL(18,2)) END) AS DOUBLE) AS signed_impact FROM rated GROUP BY team_id, kind""")
+def mismatch_report_totals(spark, sf_dir):
+    """Counts and impacts of all thirteen kinds of findings."""
+    rows = reconcile.report(reported(spark, sf_dir), AS_OF, yearly_statements(spark, sf_dir), bad_debts(spark, sf_dir))
+    return reconcile.impact_totals(rows)
+
+
 # --- questions -----------------------------------------------------------------------------------
 
 
