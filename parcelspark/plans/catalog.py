@@ -720,4 +720,4 @@ def page_chunks(spark, sf_dir):
 
 
 # Registers further queries; last, as they use what is above.
-from parcelspark.plans import deal, intake, ledger  # noqa: E402, F401
+from parcelspark.plans import deal, intake, ledger, pages  # noqa: E402, F401

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ADMITTED = "user_id long, event_id long, ts timestamp, admitted boolean"
 
@@ -108,3 +109,127 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     if events.isStreaming:
         rows = rows.withWatermark("ts", late)
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("begins"), "events")
+
+
+class _Thresholds(StatefulProcessor):
+    """State of one account: what it has spent this month, and the levels it was told of; a timer ends the month."""
+
+    def __init__(self, budget: float, levels: tuple[float, ...]):
+        self.budget, self.levels = budget, sorted(levels)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getMapState("spent", "month string", "units long")
+        self.told = handle.getMapState("told", "month string", "levels int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        out = []
+        for month, group in events.sort_values(["ts", "event_id"]).groupby(events["ts"].dt.strftime("%Y-%m")):
+            at = (month,)
+            spent, told = self.spent.getValue(at)[0] if self.spent.containsKey(at) else 0, self.told.getValue(at)[0] if self.told.containsKey(at) else 0
+            if spent == 0 and told == 0:  # forgotten once no late event of the month can come
+                end = (pd.Timestamp(month + "-01") + pd.offsets.MonthBegin(1)).tz_localize("UTC")
+                self.handle.registerTimer(int(end.timestamp() * 1000))
+            for event_id, ts, units in zip(group["event_id"], group["ts"], group["units"]):
+                spent += int(units)
+                while told < len(self.levels) and spent >= self.levels[told] * self.budget:
+                    out.append((key[0], month, self.levels[told], event_id, ts))
+                    told += 1
+            self.spent.updateValue(at, (spent,))
+            self.told.updateValue(at, (told,))
+        if out:
+            yield pd.DataFrame(out, columns=["account", "month", "level", "event_id", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ended = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms") - pd.Timedelta(days=1)
+        at = (ended.strftime("%Y-%m"),)
+        for state in (self.spent, self.told):
+            if state.containsKey(at):
+                state.removeKey(at)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+CROSSED = "account long, month string, level double, event_id long, ts timestamp"
+
+
+def threshold_stream(events: DataFrame, budget: float, levels: tuple[float, ...] = (0.5, 0.8), late: str = "1 day") -> DataFrame:
+    """Each account's first event of a month at which its units reach each share of ``budget`` (V5); each is told once.
+
+    ``events``: account, event_id, ts, units (long).  What was told lives in the
+    state store, so it survives restarts and lasts as long as the month; a timer at
+    the month's end, by the watermark, lets it go.
+    """
+    rows = events.select(F.col("account").cast("long").alias("account"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"))
+    kept = rows.where("ts IS NOT NULL AND account IS NOT NULL").withWatermark("ts", late)
+    return kept.groupBy("account").transformWithStateInPandas(_Thresholds(budget, levels), CROSSED, "append", "eventTime")
+
+
+def thresholds(events: DataFrame, budget: float, levels: tuple[float, ...] = (0.5, 0.8)) -> DataFrame:
+    """The same of a batch: units are added up per account, month and day first, then within the day of a crossing."""
+    rows = events.where("ts IS NOT NULL AND account IS NOT NULL").select(F.col("account").cast("long").alias("account"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"))
+    rows = rows.withColumns({"month": F.date_format("ts", "yyyy-MM"), "day": F.to_date("ts")})
+    days = rows.groupBy("account", "month", "day").agg(F.sum("units").alias("units"))
+    before = F.coalesce(F.sum("units").over(Window.partitionBy("account", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("before", before).withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    days = days.where((F.col("before") < F.col("level") * budget) & (F.col("before") + F.col("units") >= F.col("level") * budget)).drop("units")
+    within = Window.partitionBy("account", "month", "level").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    crossed = days.join(rows, ["account", "month", "day"]).withColumn("spent", F.col("before") + F.sum("units").over(within)).where(F.col("spent") >= F.col("level") * budget)
+    first = crossed.groupBy("account", "month", "level").agg(F.min(F.struct("ts", "event_id")).alias("x"))
+    return first.select("account", "month", "level", F.col("x.event_id").alias("event_id"), F.col("x.ts").alias("ts"))
+
+
+class _Jobs(StatefulProcessor):
+    """State of one job: where it stands and since when; a timer turns it stale."""
+
+    def __init__(self, limits: dict[str, int]):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "state string, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "state"])
+        state, at = self.state.get() if self.state.exists() else (None, -1)
+        out = []
+        for name, ts in zip(events["state"], events["ts"]):
+            ms = int(ts.timestamp() * 1000)
+            if (ms, name) > (at, state or ""):  # an event older than the job's last changes nothing
+                state, at = name, ms
+                out.append((key[0], name, ts))
+        if out:
+            self.state.update((state, at))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if state in self.limits:
+                self.handle.registerTimer(at + self.limits[state] * 60_000 + 1)
+            else:
+                self.state.clear()  # a job that is done comes to nothing more
+            yield pd.DataFrame(out, columns=["job_id", "state", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([(key[0], "stale", pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))], columns=["job_id", "state", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+CHANGED = "job_id long, state string, ts timestamp"
+
+
+def job_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Changes of jobs as they come, and ``stale`` for one that is queued or processing for too long (V8).
+
+    ``events``: job_id, state, ts.  The limit is that of the last state by event
+    time, and passes by the watermark; what is done leaves no state behind.
+    """
+    from parcelspark.operators.scope import STALE_MINUTES
+
+    rows = events.select(F.col("job_id").cast("long").alias("job_id"), "state", F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.where("ts IS NOT NULL AND state IS NOT NULL AND job_id IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("job_id").transformWithStateInPandas(_Jobs(STALE_MINUTES), CHANGED, "append", "eventTime")
