@@ -120,11 +120,16 @@ def roll_rows(spark, sf_dir) -> DataFrame:
 
 
 def rolls(spark, sf_dir) -> DataFrame:
-    """Written as delimited files with a title and a header of their own, and read back."""
+    """Written as delimited files with a title and a header of their own, some misspelt, and read back."""
     rows, folder = roll_rows(spark, sf_dir), sinks.scratch(spark)
     d = kinds(F.col("b"), F.lit(";"), F.lit("\t"), F.lit("|"))
-    line = F.concat_ws("§", "property", "unit", "tenant", "status", "start", "rent")
-    head = rows.select("b").distinct().select("b", F.explode(F.array(F.struct(F.lit(-2).alias("place"), F.lit("Rent roll as of 01/01/1999").alias("line")), F.struct(F.lit(-1).alias("place"), F.lit("Property§Apt.§Resident§Unit Status§Lease From§Rent Charge").alias("line")))).alias("x")).select("b", F.col("x.place").cast("long").alias("place"), "x.line")
+    parts = F.col("b") % 5 == 2  # these state what the tenant pays and the subsidy
+    paid = F.when(F.col("rent") == "", "§").otherwise(F.concat((F.col("rent").try_cast("decimal(18,2)") - 10).cast("decimal(18,2)").cast("string"), F.lit("§$10.00")))
+    line = F.concat_ws("§", "property", "unit", "tenant", "status", "start", F.when(parts, paid).otherwise(F.col("rent")))
+    named = F.when(F.col("b") % 4 == 1, "Proprety§Apt.§Residnt§Unit Staatus§Laese From").otherwise("Property§Apt.§Resident§Unit Status§Lease From")
+    header = F.concat(named, F.when(parts, "§Tenant Portion§HAP Amount").when(F.col("b") % 4 == 1, "§Rent Chrage").otherwise("§Rent Charge"))
+    titles = F.array(F.struct(F.lit(-2).alias("place"), F.lit("Rent roll as of 01/01/1999").alias("line")), F.struct(F.lit(-1).alias("place"), header.alias("line")))
+    head = rows.select("b").distinct().select("b", F.explode(titles).alias("x")).select("b", F.col("x.place").cast("long").alias("place"), "x.line")
     lines = rows.select("b", F.col("k").alias("place"), line.alias("line")).unionByName(head)
     sinks.write_files(lines.select(F.concat(F.lit("roll"), F.col("b").cast("string")).alias("name"), "place", F.replace("line", F.lit("§"), d).alias("line")), folder)
     return delimited.read_rent_rolls(spark, folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 
 import pandas as pd
@@ -21,7 +22,11 @@ ALIASES = {
     "sqft": ("sf", "sqft", "sq ft", "unit sf", "square feet", "area"),
     "deposit": ("deposit", "security dep", "security deposit", "deposit held"),
     "status": ("status", "occupancy", "unit status"),
+    "portion": ("tenant portion", "tenant share", "tenant payment", "tenant rent", "resident portion"),
+    "subsidy": ("subsidy", "subsidy amount", "hap", "hap amount", "housing assistance payment", "assistance payment"),
 }
+#: Words of so many letters may be misspelt in a header.
+MISSPELT = 5
 #: Headers that hold other figures: market, yearly and per-foot rents, and people of the owner.
 DENIED = re.compile(r"\b(?:market|asking|annual|yearly|per year|psf|per sq|sq ft rent|manager|prior|budget)\b")
 NOT_TENANT = re.compile(r"(?i)^\s*(?:$|-+\s*$|(?:vacant|vacancy|totals?|sub ?totals?|grand total|n/?a|none|down|model|office)\b)")
@@ -59,21 +64,64 @@ def header_key(cell: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", cell.lower())).strip()
 
 
+def cut_forms(word: str) -> set[str]:
+    """The word, and the word without any one of its letters: words one slip apart have one in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) >= MISSPELT else {word}
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Whether a letter was left out, added, changed, or swapped with the next."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    if len(a) < len(b):
+        return len(b) - len(a) == 1 and a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
+def _slips() -> dict[tuple[str, ...], list[tuple[int, str, str]]]:
+    """Spellings of columns under every tuple of cut forms of their words."""
+    out: dict[tuple[str, ...], list[tuple[int, str, str]]] = {}
+    for column, spellings in ALIASES.items():
+        for alias in spellings:
+            for forms in itertools.product(*map(cut_forms, alias.split())):
+                out.setdefault(forms, []).append((len(alias), column, alias))
+    return out
+
+
+_SLIPS = _slips()
+
+
+def misspelt(name: str) -> set[tuple[int, str]]:
+    """Columns whose spelling has as many words, each the same or one slip away; with the spelling's length."""
+    words = name.split()
+    near = {x for forms in itertools.product(*map(cut_forms, words)) for x in _SLIPS.get(forms, ())} if len(words) <= 4 else set()
+    return {(n, column) for n, column, alias in near if alias != name and all(w == a or (min(len(w), len(a)) >= MISSPELT and one_slip(w, a)) for w, a in zip(words, alias.split()))}
+
+
+def denied(name: str) -> bool:
+    """Whether a header is of another figure, even if it is misspelt."""
+    return bool(DENIED.search(name)) or any(len(w) >= MISSPELT and one_slip(w, d) for w in name.split() for d in ("market", "asking", "annual", "yearly", "budget"))
+
+
 def map_header(cells: list[str]) -> dict[str, int]:
-    """Canonical columns to positions: exact spelling first, then the longest whole phrase; each position once."""
+    """Canonical columns to positions: exact spelling first, then the longest whole phrase, then the longest misspelt one; each position once."""
     names = [header_key(c) for c in cells]
     out: dict[str, int] = {}
+    free = {i: n for i, n in enumerate(names) if n and not denied(n)}
     options = sorted(((len(a), k, a) for k, spellings in ALIASES.items() for a in spellings), key=lambda x: -x[0])
     for exact in (True, False):
         for _, k, alias in options:
             if k in out:
                 continue
-            for i, n in enumerate(names):
-                if i in out.values() or DENIED.search(n):
-                    continue
-                if n == alias if exact else re.search(rf"\b{re.escape(alias)}\b", n):
-                    out[k] = i
-                    break
+            at = next((i for i, n in free.items() if (n == alias if exact else re.search(rf"\b{re.escape(alias)}\b", n))), None)
+            if at is not None:
+                out[k] = at
+                del free[at]
+    for _, k, i in sorted(((n, k, i) for i, name in free.items() for n, k in misspelt(name)), key=lambda x: (-x[0], x[2])):
+        if k not in out and i in free:
+            out[k] = i
+            del free[i]
     return out
 
 
@@ -81,7 +129,7 @@ def find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]] | None:
     """First row that names both tenant and rent; else two rows read as one."""
     for i, row in enumerate(rows[:HEADER_ROWS]):
         found = map_header(row)
-        if "tenant" in found and "rent" in found:
+        if "tenant" in found and ("rent" in found or "portion" in found):
             return i, found
     for i in range(min(len(rows) - 1, HEADER_ROWS)):
         width = max(len(rows[i]), len(rows[i + 1]))
@@ -90,7 +138,7 @@ def find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]] | None:
             filled.append(c or (filled[-1] if filled else ""))
         lower = rows[i + 1] + [""] * (width - len(rows[i + 1]))
         found = map_header([f"{a} {b}".strip() for a, b in zip(filled, lower)])
-        if "tenant" in found and "rent" in found:
+        if "tenant" in found and ("rent" in found or "portion" in found):
             return i + 1, found
     return None
 
@@ -101,7 +149,23 @@ def grid(text: str) -> list[tuple[int, list[str]]]:
     return [(i, [c.strip() for c in row]) for i, row in enumerate(csv.reader(io.StringIO(text), delimiter=d), 1) if any(c.strip() for c in row)]
 
 
-ROW = "file string, row_num int, tenant string, rent string, start string, end string, unit string, property string, sqft string, deposit string, status string, skip_reason string"
+ROW = "file string, row_num int, tenant string, rent string, start string, end string, unit string, property string, sqft string, deposit string, status string, portion string, subsidy string, skip_reason string"
+
+
+def _dollars(cell: str | None) -> float | None:
+    digits = re.sub(r"[^0-9.]", "", cell or "")
+    return float(digits) if re.fullmatch(r"[0-9]+\.?[0-9]*|\.[0-9]+", digits) else None
+
+
+def whole_rent(cell: dict[str, str | None], columns: dict[str, int]) -> str | None:
+    """A row's rent (R27): what the tenant pays and the subsidy together, where the rent column lacks or only repeats the tenant's part."""
+    rent, portion, subsidy = cell.get("rent"), cell.get("portion"), cell.get("subsidy")
+    paid, helped = _dollars(portion), _dollars(subsidy)
+    if "portion" in columns and "subsidy" in columns:
+        if ("rent" not in columns or (paid is not None and _dollars(rent) == paid)) and (paid is not None or helped is not None):
+            return f"{(paid or 0) + (helped or 0):.2f}"
+        return rent
+    return rent or portion
 
 
 def parse_file(name: str, raw: bytes) -> list[dict]:
@@ -117,6 +181,7 @@ def parse_file(name: str, raw: bytes) -> list[dict]:
     out = []
     for number, row in numbered[at + 1 :]:
         cell = {k: (row[i] or None) if i < len(row) else None for k, i in columns.items()}
+        cell["rent"] = whole_rent(cell, columns)
         tenant, status = cell.get("tenant") or "", cell.get("status") or ""
         reason = None
         if NOT_TENANT.match(tenant):
