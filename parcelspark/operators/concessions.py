@@ -1,83 +1,24 @@
-"""Rent concessions: reading clauses, pricing them, and effective rents.
-
-Clauses are read per lease by a small grammar in pandas batches, since matches
-suppress each other in order; all pricing is Column expressions.
-"""
+"""Rent concessions: pricing what clauses grant, and effective rents; all in Column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import parse
+from parcelspark.operators import clauses
+from parcelspark.operators.clauses import ITEM as ITEM
 from parcelspark.operators.portfolio import day
 
-WORDS = {w: float(i) for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"half": 0.5, "one-half": 0.5, "eighteen": 18.0, "twenty-four": 24.0}
-_NUMBER = r"(?P<n>one[- ]half|half|\d+(?:\.\d+)?|" + "|".join(sorted(WORDS, key=len, reverse=True)) + r")(?:\s*\(\d+(?:\.\d+)?\))?"
-_AMOUNT = r"\$\s?(?P<amount>[\d,]+(?:\.\d{1,2})?)"
-_MONTHLY = r"(?:per|a|each|every)\s+month|monthly|/\s*mo(?:nth)?\b"
-FREE = [
-    re.compile(r"(?:(?P<pos>first|last)\s+)?" + _NUMBER + r"\s+months?\b[^.;]{0,40}?\b(?:free|abated|waived|rent[- ]free)\b", re.I),
-    re.compile(_NUMBER + r"\s+months?(?:'s?|s')?\s+(?:of\s+)?(?:free|abated|rent[- ]free)", re.I),
-    re.compile(r"(?:abatement|waiver)\s+of\s+(?:base\s+)?rent\s+for\s+(?:the\s+)?(?:(?P<pos>first|last)\s+)?" + _NUMBER + r"\s+months?", re.I),
-]
-RECURRING = [
-    re.compile(_AMOUNT + r"\s*(?:" + _MONTHLY + r")\s+(?:rent\s+)?(?:credit|discount|concession|reduction)", re.I),
-    re.compile(r"(?:credit|discount|concession|reduction)\s+of\s+" + _AMOUNT + r"\s*(?:" + _MONTHLY + ")", re.I),
-    re.compile(r"(?:monthly)\s+(?:rent\s+)?(?:credit|discount|concession|reduction)\s+of\s+" + _AMOUNT, re.I),
-]
-ONE_TIME = [
-    re.compile(r"(?:one[- ]time|move[- ]in|upfront|single)\s+(?:rent\s+)?(?:credit|concession|discount)\s+(?:of\s+)?" + _AMOUNT, re.I),
-    re.compile(_AMOUNT + r"\s+(?:one[- ]time|move[- ]in|upfront)\s+(?:rent\s+)?(?:credit|concession|discount)", re.I),
-]
-FOR_MONTHS = re.compile(r"\bfor\s+(?:the\s+first\s+)?" + _NUMBER + r"\s+months?", re.I)
-NEGATED = re.compile(r"\b(?:no|not|without|never|nor)\b[^.;]{0,25}$", re.I)
-OTHER = re.compile(r"\b(?:deposit|parking|storage|utilit|late fee|interest)\w*", re.I)
-RISE = re.compile(r"\b(?:increas|escalat)\w*", re.I)
-SENTENCE = re.compile(r"(?<!\bSt)(?<!\bNo)(?<!\bInc)(?<!\d)[.;](?=\s|$)|\n\s*\n")
-ITEM = "array<struct<kind:string,months:double,amount:double,position:string>>"
-
-
-def read_clause(text: str | None) -> list[dict]:
-    """Concession items of a clause in order; each stated once.
-
-    A match inside an earlier one, a negated one, one about something other
-    than rent, and a rise of rent are no concessions.
-    """
-    items: list[dict] = []
-    for sentence in SENTENCE.split(text or ""):
-        taken: list[tuple[int, int]] = []
-        for kind, patterns in (("free_rent", FREE), ("recurring_discount", RECURRING), ("one_time_credit", ONE_TIME)):
-            for pattern in patterns:
-                for m in pattern.finditer(sentence):
-                    if any(a < m.end() and m.start() < b for a, b in taken) or NEGATED.search(sentence[: m.start()]):
-                        continue
-                    taken.append(m.span())
-                    if OTHER.search(m[0]) or RISE.search(m[0]):
-                        continue
-                    found = m.groupdict()
-                    n = found.get("n")
-                    months = (WORDS.get(n.lower().replace(" ", "-")) or WORDS.get(n.lower()) or (float(n) if n[0].isdigit() else None)) if n else None
-                    if kind == "recurring_discount" and (span := FOR_MONTHS.search(sentence, m.end())):
-                        word = span["n"].lower()
-                        months = WORDS.get(word) or float(word)
-                    amount = float(found["amount"].replace(",", "")) if found.get("amount") else None
-                    item = {"kind": kind, "months": months, "amount": amount, "position": (found.get("pos") or "first").lower()}
-                    if item not in items:
-                        items.append(item)
-    return items
-
-
-def _clause_items(texts: pd.Series) -> pd.Series:
-    return texts.map(read_clause)
-
 
 def with_items(leases: DataFrame, text: str = "concessions") -> DataFrame:
     """Leases with their concession items (R24); a null clause has none."""
-    return leases.withColumn("items", F.pandas_udf(_clause_items, ITEM)(F.col(text)))
+    return leases.withColumn("items", clauses.items(F.col(text)))
+
+
+def _worth(x: Column, rent: Column) -> Column:
+    """An item's dollars, a month or once: as stated, a share of the rent, or what is left of it off the rent."""
+    return F.coalesce(x["amount"], rent * x["percent"] / 100, F.greatest(rent - x["reduced_to"], F.lit(0.0)))
 
 
 def priced(leases: DataFrame, as_of: str) -> DataFrame:
@@ -89,13 +30,14 @@ def priced(leases: DataFrame, as_of: str) -> DataFrame:
     term = F.coalesce(parse.term_months(F.col("start_date"), F.col("end_date")), F.lit(12))
     rows = leases.select("team_id", "lease_id", "rent", "start_date", "end_date", term.alias("term"), F.posexplode("items").alias("item_no", "x"))
     months = F.when(F.col("x.kind") == "recurring_discount", F.coalesce("x.months", F.col("term"))).otherwise(F.col("x.months"))
-    value = F.when(F.col("x.kind") == "free_rent", months * rent).when(F.col("x.kind") == "recurring_discount", months * F.col("x.amount")).otherwise(F.col("x.amount"))
+    worth = _worth(F.col("x"), rent)
+    value = F.when(F.col("x.kind") == "free_rent", months * rent).when(F.col("x.kind") == "recurring_discount", months * worth).otherwise(worth)
     whole = F.ceil(F.coalesce(months, F.lit(1.0))).cast("int")
     late = F.col("x.position") == "last"
     begin = F.when(late, F.date_add(F.add_months("end_date", -whole), 1)).otherwise(F.col("start_date"))
     end = F.when(late, F.col("end_date")).otherwise(F.date_sub(F.add_months("start_date", whole), 1))
     state = F.when(begin.isNull() | end.isNull(), "unknown").when(today < begin, "upcoming").when(today > end, "ended").otherwise("active")
-    return rows.select("team_id", "lease_id", "item_no", "x.kind", months.alias("months"), F.round(value, 2).alias("total_value"), begin.alias("begins"), end.alias("ends"), state.alias("state"), "rent", "term", "x.amount", "end_date")
+    return rows.select("team_id", "lease_id", "item_no", "x.kind", months.alias("months"), F.round(value, 2).alias("total_value"), begin.alias("begins"), end.alias("ends"), state.alias("state"), "rent", "term", worth.alias("amount"), "end_date")
 
 
 def effective_rents(leases: DataFrame, as_of: str) -> DataFrame:
@@ -148,7 +90,7 @@ def effective(as_of: str) -> Column:
     def item(x):
         recurring, free = x["kind"] == "recurring_discount", x["kind"] == "free_rent"
         months = F.when(recurring, F.coalesce(x["months"], term)).otherwise(x["months"])
-        amount = F.when(free, rent).otherwise(x["amount"])
+        amount = F.when(free, rent).otherwise(_worth(x, rent))
         whole = F.ceil(F.coalesce(months, F.lit(1.0))).cast("int")
         late = x["position"] == "last"
         begins = F.when(late, F.date_add(F.add_months(end, -whole), 1)).otherwise(start)

@@ -49,15 +49,6 @@ def test_statements(spark, tmp_path):
     assert statements.month_of("10/2025") == (2025, 10) and statements.month_of("Budget Jan") is None and statements.month_of("2025-07") == (2025, 7)
 
 
-def test_concession_clauses():
-    read = concessions.read_clause
-    assert read("Landlord grants two (2) months free rent.") == [{"kind": "free_rent", "months": 2.0, "amount": None, "position": "first"}]
-    assert read("A monthly rent credit of $150.00 for the first 6 months.") == [{"kind": "recurring_discount", "months": 6.0, "amount": 150.0, "position": "first"}]
-    assert read("One-time concession of $500 at signing. No months free.") == [{"kind": "one_time_credit", "months": None, "amount": 500.0, "position": "first"}]
-    assert read("The last 1 month is free.")[0]["position"] == "last"
-    assert read("Tenant shall not receive two months free.") == [] and read(None) == [] and read("Rent is $5.") == []
-
-
 def test_effective_rent(spark):
     rows = [(1, 1, 1200.0, "2025-01-01", "2025-12-31", "Two months free rent."), (1, 2, 1000.0, "2025-01-01", "2025-12-31", "Credit of $100 per month."), (1, 3, None, "2025-01-01", "2025-12-31", "Two months free rent.")]
     df = spark.createDataFrame(rows, "team_id int, lease_id int, rent double, s string, e string, concessions string")
