@@ -63,3 +63,36 @@ def merge_chunks(values: DataFrame) -> DataFrame:
     out = rows.groupBy("doc_id", "field").agg(F.min_by("value", F.struct("rank", "page", "value")).alias("value"), F.min_by("confidence", F.struct("rank", "page", "value")).alias("best"), F.array_sort(F.collect_set("canon")).alias("distinct_values"))
     many = F.size("distinct_values") > 1
     return out.select("doc_id", "field", "value", F.when(many, "low").otherwise(F.col("best")).alias("confidence"), F.when(many, F.array_join("distinct_values", " | ")).alias("alternatives"))
+
+
+def scored(values: DataFrame) -> DataFrame:
+    """Each extracted value beside the truth (A20, X11): ``correct``, what kind of outcome it is, and whether a claim was wrong.
+
+    ``values``: doc_id, field, found, expected, confidence.
+    """
+    right = values_match(F.col("field"), F.col("found"), F.col("expected"))
+    kind = (
+        F.when(F.col("correct"), F.when(F.col("expected").isNotNull(), "correct_found").otherwise("correct_absent"))
+        .when(F.col("expected").isNull(), "spurious").when(F.col("found").isNull(), "missed").otherwise("wrong")
+    )
+    return values.withColumn("correct", right).withColumn("kind", kind).withColumn("asserted_wrong", F.col("kind").isin("wrong", "spurious"))
+
+
+def calibration(scores: DataFrame) -> DataFrame:
+    """Shares of right claims by confidence, their gap from high to low, and the wrong claims (A20), over all and by field.
+
+    Only values that were found are claims.  ``scope`` is ``all`` or a field's name.
+    """
+    claims = scores.where("found IS NOT NULL")
+
+    def share(level):
+        of = F.col("confidence") == level
+        return F.round(F.try_divide(F.count_if(of & F.col("correct")), F.count_if(of)), 4)
+
+    rows = claims.groupingSets([["field"], []], "field").agg(F.count("*").alias("claims"), F.count_if(~F.col("correct")).alias("wrong"), F.count_if(~F.col("correct") & (F.col("confidence") == "high")).alias("confident_wrong"), *[share(c).alias(f"p_{c}") for c in ("high", "medium", "low")], F.grouping_id().alias("g"))
+    return rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("field")).alias("scope"), "claims", "wrong", "confident_wrong", "p_high", "p_medium", "p_low", F.round(F.col("p_high") - F.col("p_low"), 4).alias("calibration_gap"))
+
+
+def confident_mistakes(scores: DataFrame) -> DataFrame:
+    """Claims of high confidence that are wrong, for people to read."""
+    return scores.where("found IS NOT NULL AND confidence = 'high' AND NOT correct").select("doc_id", "field", "found", "expected", "kind")

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import keys
+from parcelspark.operators import clauses
 from parcelspark.operators.portfolio import day
 
 #: Field -> words that name it, first match first.
 FIELDS = {"rent": "rent", "deposit": "security deposit|deposit", "cam": "cam charges|cam", "sqft": "square footage|square feet|sqft|area", "end_date": "end date|expiration|expires?", "start_date": "start date|commencement|start", "tenant": "tenant"}
 MONEY = ("rent", "deposit", "cam", "sqft")
 HOW = {"sum": "total|sum", "avg": "average|mean", "max": "highest|largest|max(?:imum)?", "min": "lowest|smallest|min(?:imum)?"}
-NUMBERS = {"a": 1, "one": 1, "two": 2, "three": 3, "six": 6, "twelve": 12}
+NUMBERS = {"a": 1} | {w: int(n) for w, n in clauses.NUMBERS.items() if n >= 1}
 
 
 def _first_named(text: Column, names: dict[str, str]) -> Column:
@@ -28,7 +29,7 @@ def _first_named(text: Column, names: dict[str, str]) -> Column:
 def timeframe(text: Column, as_of: str) -> Column:
     """``struct<first,last>`` of "next 18 months", "within 90 days", "this year", "next year", "in 2027"; null fields where there is none."""
     today = day(as_of)
-    span = r"\b(?:next|within)\s+(?:the\s+next\s+)?(\d{1,4}|" + "|".join(NUMBERS) + r")\s+(day|week|month|year)s?\b"
+    span = r"\b(?:next|within)\s+(?:the\s+next\s+)?(\d{1,4}|" + "|".join(sorted(NUMBERS, key=len, reverse=True)) + r")\s+(day|week|month|year)s?\b"
     said, unit = F.regexp_extract(text, span, 1), F.regexp_extract(text, span, 2)
     n = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in NUMBERS.items() for v in kv]), said), said.try_cast("int"))
     later = F.when(unit == "day", F.date_add(today, n)).when(unit == "week", F.date_add(today, n * 7)).when(unit == "month", F.add_months(today, n)).when(unit == "year", F.add_months(today, n * 12))
@@ -77,16 +78,16 @@ def answers(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
 
 
 def listed(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
-    """``question_id, lease_id, tenant, end_date``: the leases that questions of kind list ask for."""
+    """``question_id, lease_id, tenant, end_date, source``: the leases that questions of kind list ask for, with the file that says so."""
     days = _by_day(classified(questions, as_of).where("kind = 'list'"), leases).select("question_id", "end_date")
-    return days.join(leases.select("lease_id", "tenant", "end_date"), "end_date").select("question_id", "lease_id", "tenant", "end_date")
+    return days.join(leases.select("lease_id", "tenant", "end_date", F.col("filename").alias("source")), "end_date").select("question_id", "lease_id", "tenant", "end_date", "source")
 
 
 def looked_up(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
-    """``question_id, lease_id, tenant, value``: the asked field of leases whose tenant is, or begins with, the name in question."""
+    """``question_id, lease_id, tenant, value, source``: the asked field of leases whose tenant is, or begins with, the name in question."""
     asked = classified(questions, as_of).where("kind = 'lookup'").withColumn("word", F.substring_index("who", " ", 1))
     rows = leases.withColumn("key", keys.name_key("tenant")).withColumn("word", F.substring_index("key", " ", 1))
     values = {f: F.col(f).cast("string") for f in FIELDS}
     value = reduce(lambda out, f: out.when(F.col("field") == f, values[f]), list(FIELDS)[1:], F.when(F.col("field") == "rent", values["rent"]))
     joined = asked.select("question_id", "field", "who", "word").join(rows, "word").where((F.col("key") == F.col("who")) | F.col("key").startswith(F.concat("who", F.lit(" "))))
-    return joined.select("question_id", "lease_id", "tenant", value.alias("value"))
+    return joined.select("question_id", "lease_id", "tenant", value.alias("value"), F.col("filename").alias("source"))

@@ -92,3 +92,41 @@ def patterns(findings: DataFrame, least: int = 3) -> DataFrame:
     ids = findings.select(*key, F.explode(F.array("lease_id", "related_lease_id")).alias("id")).where("id IS NOT NULL").groupBy(*key).agg(F.count_distinct("id").alias("lease_count"))
     sums = findings.groupBy(*key).agg(F.count("*").alias("discrepancy_count"), F.sum(F.col("impact").cast("decimal(18,2)")).cast("double").alias("total_impact"))
     return sums.join(ids.where(F.col("lease_count") >= least), key)
+
+
+def finding_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed between two snapshots of findings (R30): ``natural_key, severity, change``.
+
+    ``opened``: new and open, or open again; ``closed``: no longer open, or gone;
+    ``changed``: still open with another severity.  Nothing else has a row.
+    """
+    o = before.where("status = 'open'").select("natural_key", F.col("severity").alias("was"), F.lit(True).alias("o"))
+    n = after.where("status = 'open'").select("natural_key", "severity", F.lit(True).alias("n"))
+    joined = o.join(n, "natural_key", "full_outer")
+    change = F.when(F.col("o").isNull(), "opened").when(F.col("n").isNull(), "closed").when(~F.col("was").eqNullSafe(F.col("severity")), "changed")
+    return joined.select("natural_key", F.coalesce("severity", "was").alias("severity"), change.alias("change")).where("change IS NOT NULL")
+
+
+def discrepancy_alerts(changes: DataFrame) -> DataFrame:
+    """An alert for each finding that was opened (R30): ``natural_key, alert_type, severity, lease_id``.
+
+    A finding that closes is in no later run, which resolves its alert (``run_alerts``).
+    """
+    lease = F.get(F.split("natural_key", ":"), F.lit(1)).try_cast("long")
+    opened = changes.where("change = 'opened'")
+    return opened.select(F.concat(F.lit("new_discrepancy:"), "natural_key").alias("natural_key"), F.lit("new_discrepancy").alias("alert_type"), F.coalesce("severity", F.lit("medium")).alias("severity"), lease.alias("lease_id"))
+
+
+#: Every status and severity has a count, if none a zero.
+STATUSES, SEVERITIES = ("open", "resolved"), ("high", "medium", "low")
+
+
+def finding_summary(findings: DataFrame) -> DataFrame:
+    """``scope, name, n`` by status, severity and type, in one pass; statuses and severities are all there."""
+    sets = findings.groupingSets([["status"], ["severity"], ["discrepancy_type"]], "status", "severity", "discrepancy_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    scope = F.when(F.col("g") == 3, "status").when(F.col("g") == 5, "severity").otherwise("type")
+    counts = sets.select(scope.alias("scope"), F.coalesce("status", "severity", "discrepancy_type").alias("name"), "n")
+    domain = [("status", s) for s in STATUSES] + [("severity", s) for s in SEVERITIES]
+    dense = findings.sparkSession.createDataFrame(domain, "scope string, name string")
+    joined = counts.join(dense.withColumn("known", F.lit(True)), ["scope", "name"], "full_outer")
+    return joined.select("scope", "name", F.coalesce("n", F.lit(0)).alias("n"))

@@ -434,26 +434,32 @@ def finding_keys(spark, sf_dir):
  SELECT natural_key, coalesce(n.severity, o.severity) AS severity, CASE WHEN n.severity IS NOT NULL THEN n.impact ELSE o.impact END AS impact, coalesce(o.status, 'open') AS status, CASE WHEN o.status IS NULL THEN TIMESTAMP '1999-02-01' ELSE TIMESTAMP '1999-01-01' END AS first_detected_at,
  CASE WHEN n.severity IS NOT NULL THEN TIMESTAMP '1999-02-01' ELSE TIMESTAMP '1999-01-01' END AS last_seen_at FROM old o FULL JOIN new n USING (natural_key)""")
 def findings_upsert(spark, sf_dir):
+    return _snapshots(spark, sf_dir)[1].withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_detected_at", "last_seen_at")})
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Findings before and after a run."""
     keyed = state.finding_keys(flag_rows(spark, sf_dir))
     time = F.lit("1999-01-01").cast("timestamp")
     old = keyed.where("lease_id % 3 <> 0").select("natural_key", F.lit("low").alias("severity"), F.lit(1.0).alias("impact"), F.when(F.col("lease_id") % 2 == 0, "resolved").otherwise("open").alias("status"), time.alias("first_detected_at"), time.alias("last_seen_at"))
     new = keyed.where("lease_id % 5 <> 0").select("natural_key", "severity", F.col("lease_id").cast("double").alias("impact"))
-    out = state.upsert_findings(old, new, "1999-02-01")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_detected_at", "last_seen_at")})
+    return old, state.upsert_findings(old, new, "1999-02-01")
 
 
-CANDIDATE_SQL = ALERT_SQL + ", " + LOSS_SQL + ", " + SHARE_SQL + """, cand AS (SELECT 'lease_expiration:' || lease_id AS natural_key, 'lease_expiration' AS alert_type, CASE bucket WHEN '30' THEN 'high' WHEN '60' THEN 'medium' ELSE 'low' END AS severity, lease_id FROM ex WHERE kind = 'expiring'
+CANDIDATE_SQL = KEYED_SQL + ", " + ALERT_SQL + ", " + LOSS_SQL + ", " + SHARE_SQL + """, cand AS (SELECT 'lease_expiration:' || lease_id AS natural_key, 'lease_expiration' AS alert_type, CASE bucket WHEN '30' THEN 'high' WHEN '60' THEN 'medium' ELSE 'low' END AS severity, lease_id FROM ex WHERE kind = 'expiring'
  UNION ALL SELECT 'below_market_rent:' || lease_id, 'below_market_rent', CASE WHEN loss_pct >= 20 THEN 'high' ELSE 'medium' END, lease_id FROM loss WHERE loss_pct >= 10
- UNION ALL SELECT 'tenant_concentration:team' || team_id || ':' || lower(tenant), 'tenant_concentration', 'high', NULL FROM shares WHERE round(rent_sum::DOUBLE / team_rent::DOUBLE * 100, 2) >= 25)"""
+ UNION ALL SELECT 'tenant_concentration:team' || team_id || ':' || lower(tenant), 'tenant_concentration', 'high', NULL FROM shares WHERE round(rent_sum::DOUBLE / team_rent::DOUBLE * 100, 2) >= 25
+ UNION ALL SELECT 'new_discrepancy:' || natural_key, 'new_discrepancy', severity, lease_id FROM keyed WHERE lease_id % 3 = 0 AND lease_id % 5 <> 0)"""
 
 
 def alert_candidates(spark, sf_dir) -> DataFrame:
-    """Expiring leases, rents below their building's best, and dominant tenants."""
+    """Expiring leases, rents below their building's best, dominant tenants, and findings that a run opened."""
     rows = leases(spark, sf_dir)
     ex = portfolio.expiration_alerts(rows, AS_OF).where("kind = 'expiring'").select(F.concat(F.lit("lease_expiration:"), "lease_id").alias("natural_key"), F.lit("lease_expiration").alias("alert_type"), F.when(F.col("bucket") == "30", "high").when(F.col("bucket") == "60", "medium").otherwise("low").alias("severity"), "lease_id")
     low = portfolio.loss_to_lease(rows).where("loss_pct >= 10").select(F.concat(F.lit("below_market_rent:"), "lease_id").alias("natural_key"), F.lit("below_market_rent").alias("alert_type"), F.when(F.col("loss_pct") >= 20, "high").otherwise("medium").alias("severity"), "lease_id")
     big = portfolio.tenant_shares(rows).where(F.round("pct", 2) >= 25).select(F.concat(F.lit("tenant_concentration:team"), "team_id", F.lit(":"), F.lower("tenant")).alias("natural_key"), F.lit("tenant_concentration").alias("alert_type"), F.lit("high").alias("severity"), F.lit(None).cast("long").alias("lease_id"))
-    return ex.unionByName(low).unionByName(big)
+    opened = state.discrepancy_alerts(state.finding_changes(*_snapshots(spark, sf_dir)))
+    return ex.unionByName(low).unionByName(big).unionByName(opened)
 
 
 @query(CANDIDATE_SQL + " SELECT * FROM cand")
@@ -720,4 +726,4 @@ def page_chunks(spark, sf_dir):
 
 
 # Registers further queries; last, as they use what is above.
-from parcelspark.plans import deal, intake, ledger, pages  # noqa: E402, F401
+from parcelspark.plans import deal, intake, ledger, outcomes, pages  # noqa: E402, F401
