@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.functions import parse
+
 _NAME = r"([A-Z][\w&.,'’ -]{1,80}?)"
 _DAY = r"([A-Z][a-z]+\.? \d{1,2},? \d{4}|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}(?:st|nd|rd|th)? day of [A-Z][a-z]+,? \d{4})"
 _MONEY = r"(\$\s?[\d,]+(?:\.\d{2})?)"
@@ -65,6 +67,37 @@ def extract(pages: DataFrame) -> DataFrame:
     return best.select("doc_id", "field", "x.*")
 
 
+#: What a field's amount lies between, and below which clarity (of 100) a scanned page is hardly legible.
+RANGES = {"rent_amount": (50, 1_000_000), "security_deposit": (1, 2_000_000), "cam_charges": (1, 500_000), "square_footage": (50, 2_000_000)}
+CLEAR, FIRST_YEAR, YEARS_AHEAD = 60, 1980, 30
+
+
+def validated(fields: DataFrame, as_of: str, clarity: DataFrame | None = None) -> DataFrame:
+    """Extracted fields with their confidence lowered a tier for each doubt, and the doubts.
+
+    ``range``: an amount or area outside what is usual; ``date``: a start or end in
+    another age; ``order``: an end that is not after the start; ``ocr``: a page that
+    is hardly legible (``clarity``: doc_id, page, clarity).  Doubts never raise a tier.
+    """
+    number = F.when(F.col("field") == "square_footage", parse.square_feet("value")).otherwise(parse.currency("value"))
+    bounds = [F.when(F.col("field") == f, ~number.between(low, high)) for f, (low, high) in RANGES.items()]
+    dated = F.when(F.col("field").isin("lease_start_date", "lease_end_date"), parse.date("value"))
+    rows = fields.withColumn("d", dated)
+    of = Window.partitionBy("doc_id")
+    start, end = (F.max(F.when(F.col("field") == f, F.col("d"))).over(of) for f in ("lease_start_date", "lease_end_date"))
+    last = F.year(F.lit(as_of).cast("date")) + YEARS_AHEAD
+    rows = rows.withColumn("ends_early", (F.col("field") == "lease_end_date") & (end <= start))
+    if clarity is not None:
+        rows = rows.join(clarity.select("doc_id", "page", "clarity"), ["doc_id", "page"], "left")
+    unclear = F.col("clarity") < CLEAR if clarity is not None else F.lit(False)
+    tests = {"range": F.coalesce(*bounds), "date": ~F.year("d").between(FIRST_YEAR, last), "order": F.col("ends_early"), "ocr": unclear}
+    doubts = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
+    tiers = F.array(*map(F.lit, ("high", "medium", "low")))
+    rows = rows.withColumn("doubts", doubts)
+    lowered = F.get(tiers, F.least(F.array_position(tiers, F.col("confidence")).cast("int") - 1 + F.size("doubts"), F.lit(2)))
+    return rows.withColumn("confidence", F.when(F.col("confidence").isNotNull(), lowered)).select(*fields.columns, "doubts")
+
+
 def several_leases(pages: DataFrame) -> DataFrame:
     """Documents with more than one tenant or landlord, and the pages where each begins."""
     found = page_values(pages).where("field IN ('tenant', 'landlord') AND confidence = 'high'").withColumn("name", F.lower("value"))
