@@ -66,11 +66,18 @@ def finance_summary(revenue: DataFrame, expenses: DataFrame) -> DataFrame:
 def over_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """Events with ``most`` or more earlier ones of their key within ``seconds`` (V3): denied hits count too.
 
-    A pure function of arrivals, so a range window gives it.
+    A pure function of arrivals, so a range window gives it.  A key's events are cut
+    into spans of that length, each beside the one before it, so that a key with
+    many events is dealt to many tasks.
     """
+    width, name = seconds * 1_000_000, "__span"
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    earlier = Window.partitionBy("user_id").orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, -1)
-    return events.withColumn("earlier", F.count("*").over(earlier)).withColumn("limited", F.col("earlier") >= most)
+    own = F.floor(at / F.lit(width))
+    near = F.when(own.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(own, own + 1))
+    copies = events.select("*", F.explode(near).alias(name))
+    earlier = Window.partitionBy("user_id", name).orderBy(at).rangeBetween(-width + 1, -1)
+    counted = copies.withColumn("earlier", F.count("*").over(earlier)).where(F.col(name).eqNullSafe(own)).drop(name)
+    return counted.withColumn("limited", F.col("earlier") >= most)
 
 
 def unread(messages: DataFrame, reads: DataFrame) -> DataFrame:

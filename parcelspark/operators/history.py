@@ -52,13 +52,17 @@ def expirations_by_month(leases: DataFrame) -> DataFrame:
 
 
 def building_trends(leases: DataFrame) -> DataFrame:
-    """Records, units, turnovers and expirations of each building, with a total per team."""
+    """Records, units, turnovers and expirations of each building, with a total per team.
+
+    Sums per unit come first and are rolled up, so no distinct count is needed.
+    """
     keyed = leases.where("building_key IS NOT NULL")
     unit = _by_unit()
     rows = keyed.select("team_id", "building_key", "unit_key", "end_date", "tenant_key", F.lag("tenant_key").over(unit).alias("before"))
+    units = rows.groupBy("team_id", "building_key", "unit_key").agg(F.count("*").alias("records"), F.count(F.when(F.col("tenant_key") != F.col("before"), 1)).alias("turnovers"), F.count("end_date").alias("ends"))
     return (
-        rows.rollup("team_id", "building_key")
-        .agg(F.count("*").alias("record_count"), F.count_distinct("unit_key").alias("units"), F.count(F.when(F.col("tenant_key") != F.col("before"), 1)).alias("turnover_count"), F.count("end_date").alias("expirations"))
+        units.rollup("team_id", "building_key")
+        .agg(F.sum("records").alias("record_count"), F.count("unit_key").alias("units"), F.sum("turnovers").alias("turnover_count"), F.sum("ends").alias("expirations"))
         .where("team_id IS NOT NULL")
         .fillna("(all)", ["building_key"])
     )

@@ -121,14 +121,24 @@ def page_chunks(pages: DataFrame, most_pages: int = 20, most_chars: int = 40_000
     """Chunk numbers of pages, cut before a page that would pass a bound.
 
     Each cut depends on the one before, so a document's page lengths (not its
-    texts) are folded in order.
+    texts) stream past in order; what is held is the chunk at hand.
     """
-    sizes = pages.select("doc_id", "page", F.length("text").alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "n"))).alias("pages"))
+    sizes = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    ordered = sizes.repartition("doc_id").sortWithinPartitions("doc_id", "page")
 
-    def step(acc, x):
-        cut = (acc["count"] > 0) & ((acc["count"] >= most_pages) | (acc["chars"] + x["n"] > most_chars))
-        no = acc["no"] + cut.cast("int")
-        return F.struct(no.alias("no"), (F.when(cut, 0).otherwise(acc["count"]) + 1).alias("count"), (F.when(cut, 0).otherwise(acc["chars"]) + x["n"]).alias("chars"), F.concat(acc["out"], F.array(F.struct(x["page"].alias("page"), no.alias("chunk")))).alias("out"))
+    def fold(batches):
+        import pyarrow as pa
 
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("count"), F.lit(0).alias("chars"), F.array().cast("array<struct<page:int,chunk:int>>").alias("out"))
-    return sizes.select("doc_id", F.explode(F.aggregate("pages", start, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.*")
+        of, no, count, chars = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for doc, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if (doc,) != of:
+                    of, no, count, chars = (doc,), 0, 0, 0
+                if count and (count >= most_pages or chars + n > most_chars):
+                    no, count, chars = no + 1, 0, 0
+                count, chars = count + 1, chars + n
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["doc_id", "page", "chunk"])
+
+    return ordered.mapInArrow(fold, "doc_id long, page int, chunk int")

@@ -96,20 +96,34 @@ def tenant_shares(leases: DataFrame) -> DataFrame:
     return by_tenant.join(whole, "team_id").select("team_id", "tenant", "tenant_key", "rent_sum", "team_rent", pct.alias("pct"))
 
 
+#: Parts into which a team's tenants are dealt before they are ranked.
+DEALT = 64
+
+
 def concentration(leases: DataFrame) -> DataFrame:
-    """Tenant count, cumulative shares of the largest 1, 3 and 5, and the Herfindahl index."""
-    ranked = tenant_shares(leases).withColumn("place", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("rent_sum"), "tenant_key")))
+    """Tenant count, cumulative shares of the largest 1, 3 and 5, and the Herfindahl index.
+
+    A team's tenants are ranked in ``DEALT`` parts by their keys; each hands on its
+    five largest and its sums, so no task ranks a whole team.
+    """
+    part = F.pmod(F.xxhash64("tenant_key"), F.lit(DEALT))
+    order = Window.partitionBy("team_id", "part").orderBy(F.desc("rent_sum"), "tenant_key")
+    ranked = tenant_shares(leases).withColumn("part", part).withColumn("place", F.row_number().over(order))
+    large = F.when(F.col("place") <= 5, F.struct((-F.col("rent_sum")).alias("o"), "tenant_key", "pct"))
+    parts = ranked.groupBy("team_id", "part").agg(F.count("*").alias("n"), F.first("team_rent").alias("team_rent"), F.sum(F.col("pct") * F.col("pct")).alias("squares"), F.collect_list(large).alias("large"))
+    teams = parts.groupBy("team_id").agg(F.sum("n").alias("n"), F.first("team_rent").alias("team_rent"), F.sum("squares").alias("squares"), F.slice(F.array_sort(F.flatten(F.collect_list("large"))), 1, 5).alias("large"))
 
     def top(n):
-        return F.round(F.sum(F.when(F.col("place") <= n, F.col("pct"))), 2)
+        return F.round(F.aggregate(F.slice("large", 1, n), F.lit(0.0), lambda acc, x: acc + x["pct"]), 2)
 
-    out = ranked.groupBy("team_id").agg(
-        F.count("*").alias("tenant_count"),
-        F.round(F.first("team_rent").cast("double"), 2).alias("total_rent"),
+    out = teams.select(
+        "team_id",
+        F.col("n").alias("tenant_count"),
+        F.round(F.col("team_rent").cast("double"), 2).alias("total_rent"),
         top(1).alias("top_1_pct"),
         top(3).alias("top_3_pct"),
         top(5).alias("top_5_pct"),
-        F.round(F.sum(F.col("pct") * F.col("pct")), 1).alias("hhi"),
+        F.round("squares", 1).alias("hhi"),
     )
     level = F.when((F.col("hhi") >= 2500) | (F.col("top_1_pct") >= 25), "high").when((F.col("hhi") >= 1500) | (F.col("top_1_pct") >= 15), "moderate").otherwise("low")
     return out.withColumn("concentration_level", level)

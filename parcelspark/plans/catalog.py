@@ -473,7 +473,7 @@ RUN_SQL = CANDIDATE_SQL + """, old AS (SELECT natural_key, alert_type, 'low' AS
 
 
 def _alert_run(spark, sf_dir) -> DataFrame:
-    found = alert_candidates(spark, sf_dir)
+    found = sinks.kept(alert_candidates(spark, sf_dir))
     k = F.col("lease_id") % 4
     old = found.where("lease_id % 3 <> 0").select("natural_key", "alert_type", F.lit("low").alias("severity"), F.when(k == 1, "dismissed").when(k == 2, "auto_resolved").otherwise("active").alias("status"), F.lit("1999-01-01").cast("timestamp").alias("created_at"))
     return state.run_alerts(old, found.where("lease_id IS NULL OR lease_id % 5 <> 0"), "1999-02-01")

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in a scratch folder, for what is costly and read more than once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(lines: DataFrame, path: str) -> None:
     """One text file for each ``name``, its ``line`` values in the order of ``place``."""
     lines.repartition("name").sortWithinPartitions("name", "place").select("name", "line").write.partitionBy("name").text(path)
