@@ -83,6 +83,7 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +109,25 @@ ORACLE_SQL: dict[str, str] = {
         ),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM found WHERE score > 0)
         SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op3_winnowed_decontamination": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS w FROM benchmark),
+        i AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+        spots AS (SELECT r, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+        hits AS (SELECT r, n, s, item FROM spots JOIN win USING (n, x)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op7_circulant_minhash": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \t-\r]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(3, len(w)) - 1), ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS mutual FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * mutual >= 85 * (p.size + q.size - mutual)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
