@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelspark.functions import parse
-from parcelspark.operators import clauses, concessions, documents, extraction, identity, questions, state
+from parcelspark.operators import clauses, concessions, documents, extraction, identity, memo, questions, state
 from parcelspark.plans import catalog
 from parcelspark.plans.catalog import KEYED_SQL, clause, query
 from parcelspark.plans.project import AS_OF, dealt_out, leases, read, text_leases
@@ -173,3 +173,21 @@ def question_lookups(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.concat(F.when(k % 2 == 0, "What is the rent for ").otherwise("What is the end date for "), "c_name", F.lit("?"))
     return questions.looked_up(read(spark, sf_dir, "customer").select(k.alias("question_id"), text.alias("question")), leases(spark, sf_dir), AS_OF)
+
+
+# --- the memo ------------------------------------------------------------------------------------
+
+
+@query(f"""r AS (SELECT *, row_number() OVER (PARTITION BY team_id, unit_key ORDER BY is_rent_roll, uploaded_at DESC, lease_id DESC) AS place FROM leases),
+ s AS (SELECT *, unnest([team_id || '|', team_id || '|' || building_key]) AS scope FROM r), n AS (SELECT scope, count(*) AS record_count, count(*) FILTER (lease_id % 7 = 0) AS open_findings, count(*) FILTER (lease_id % 7 = 1) AS resolved_findings, count(*) FILTER (lease_id % 7 = 0 AND lease_id % 2 = 0) AS open_high FROM s GROUP BY scope),
+ m AS (SELECT scope, count(*) AS lease_count, CAST(sum(rent) AS DOUBLE) AS total_monthly_rent, round(avg(psf), 2) AS avg_rent_per_sqft, round(sum(sqft), 2) AS total_square_footage,
+   round(CAST(sum(date_diff('day', DATE '{AS_OF}', end_date) * rent) FILTER (rent > 0 AND end_date >= DATE '{AS_OF}') AS DOUBLE) / CAST(sum(rent) FILTER (rent > 0 AND end_date >= DATE '{AS_OF}') AS DOUBLE) / 365.25, 2) AS walt_years,
+   round(coalesce(CAST(sum(rent) FILTER (rent > 0 AND date_diff('day', DATE '{AS_OF}', end_date) BETWEEN 0 AND 365) AS DOUBLE) / nullif(CAST(sum(rent) FILTER (rent > 0 AND end_date >= DATE '{AS_OF}') AS DOUBLE), 0), 0) * 100, 2) AS year_1_pct,
+   CAST(coalesce(sum(rent) FILTER (rent > 0 AND end_date < DATE '{AS_OF}'), 0) AS DOUBLE) AS expired_rent, bool_or(rent > 0 AND end_date IS NOT NULL) AS rolls FROM s WHERE place = 1 GROUP BY scope)
+ SELECT scope, record_count, lease_count, total_monthly_rent, avg_rent_per_sqft, total_square_footage, walt_years, CASE WHEN rolls THEN year_1_pct END AS year_1_pct, CASE WHEN rolls THEN expired_rent END AS expired_rent, open_findings, resolved_findings, open_high FROM n LEFT JOIN m USING (scope)""")
+def deal_memo(spark, sf_dir):
+    """Figures of a memo for each property and each portfolio."""
+    rows, k = leases(spark, sf_dir), F.col("lease_id")
+    status = F.when(k % 7 == 0, "open").when(k % 7 == 1, "resolved")
+    findings = rows.select("team_id", "building_key", status.alias("status"), F.when(k % 2 == 0, "high").otherwise("low").alias("severity")).where("status IS NOT NULL")
+    return memo.deal_memo(rows, findings, AS_OF).withColumn("expired_rent", F.col("rollover")["expired"]).drop("rollover")

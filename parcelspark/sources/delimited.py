@@ -24,7 +24,12 @@ ALIASES = {
     "status": ("status", "occupancy", "unit status"),
     "portion": ("tenant portion", "tenant share", "tenant payment", "tenant rent", "resident portion"),
     "subsidy": ("subsidy", "subsidy amount", "hap", "hap amount", "housing assistance payment", "assistance payment"),
+    "concession": ("concession", "concessions", "monthly concession", "concession amount"),
+    "code": ("charge code", "code", "charge type"),
+    "amount": ("amount", "charge amount"),
 }
+#: Charge codes that are the rent itself, and those that take something off it.
+RENT_CODE, OFF_CODE = re.compile(r"^(?:base |monthly |contract )?re?nt(?:al)?(?: charge)?$"), re.compile(r"^(?:conc|disc)|concession")
 #: Words of so many letters may be misspelt in a header.
 MISSPELT = 5
 #: Headers that hold other figures: market, yearly and per-foot rents, and people of the owner.
@@ -125,11 +130,16 @@ def map_header(cells: list[str]) -> dict[str, int]:
     return out
 
 
+def _has_rent(columns: dict[str, int]) -> bool:
+    """A rent, a tenant's part of it, or charges that it can be added up from."""
+    return "rent" in columns or "portion" in columns or {"code", "amount", "unit"} <= columns.keys()
+
+
 def find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]] | None:
     """First row that names both tenant and rent; else two rows read as one."""
     for i, row in enumerate(rows[:HEADER_ROWS]):
         found = map_header(row)
-        if "tenant" in found and ("rent" in found or "portion" in found):
+        if "tenant" in found and _has_rent(found):
             return i, found
     for i in range(min(len(rows) - 1, HEADER_ROWS)):
         width = max(len(rows[i]), len(rows[i + 1]))
@@ -138,7 +148,7 @@ def find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]] | None:
             filled.append(c or (filled[-1] if filled else ""))
         lower = rows[i + 1] + [""] * (width - len(rows[i + 1]))
         found = map_header([f"{a} {b}".strip() for a, b in zip(filled, lower)])
-        if "tenant" in found and ("rent" in found or "portion" in found):
+        if "tenant" in found and _has_rent(found):
             return i + 1, found
     return None
 
@@ -149,7 +159,7 @@ def grid(text: str) -> list[tuple[int, list[str]]]:
     return [(i, [c.strip() for c in row]) for i, row in enumerate(csv.reader(io.StringIO(text), delimiter=d), 1) if any(c.strip() for c in row)]
 
 
-ROW = "file string, row_num int, tenant string, rent string, start string, end string, unit string, property string, sqft string, deposit string, status string, portion string, subsidy string, skip_reason string"
+ROW = "file string, row_num int, tenant string, rent string, start string, end string, unit string, property string, sqft string, deposit string, status string, portion string, subsidy string, concession string, skip_reason string"
 
 
 def _dollars(cell: str | None) -> float | None:
@@ -168,6 +178,29 @@ def whole_rent(cell: dict[str, str | None], columns: dict[str, int]) -> str | No
     return rent or portion
 
 
+def folded_charges(numbered: list[tuple[int, list[str]]], columns: dict[str, int]) -> list[tuple[int, dict[str, str | None]]]:
+    """Charge lines folded under the line of their unit (A31): its rent codes added up, its concession codes by size."""
+
+    def cell(row, name):
+        i = columns.get(name)
+        return (row[i] or None) if i is not None and i < len(row) else None
+
+    out: list[tuple[int, dict[str, str | None]]] = []
+    sums: list[dict[str, float]] = []
+    for number, row in numbered:
+        if cell(row, "unit") or not out:
+            out.append((number, {k: cell(row, k) for k in columns}))
+            sums.append({})
+        code, amount = re.sub("[^a-z ]", "", (cell(row, "code") or "").lower()).strip(), _dollars(cell(row, "amount"))
+        if amount is not None and code and not code.startswith("total"):
+            held = sums[-1]
+            held["rent"] = held.get("rent", 0.0) + (amount * (-1 if re.match(r"\s*[-(]", cell(row, "amount") or "") else 1) if RENT_CODE.match(code) else 0.0)
+            held["concession"] = held.get("concession", 0.0) + (amount if OFF_CODE.search(code) else 0.0)
+    for (_, cells), held in zip(out, sums):
+        cells |= {k: f"{held[k]:.2f}" if k in held else None for k in ("rent", "concession")}
+    return out
+
+
 def parse_file(name: str, raw: bytes) -> list[dict]:
     """Rows of one rent roll as text, with the reason where a row is no lease."""
     text = decode(raw)
@@ -179,8 +212,12 @@ def parse_file(name: str, raw: bytes) -> list[dict]:
         return []
     at, columns = header
     out = []
-    for number, row in numbered[at + 1 :]:
-        cell = {k: (row[i] or None) if i < len(row) else None for k, i in columns.items()}
+    if "rent" not in columns and {"code", "amount", "unit"} <= columns.keys():
+        rows = folded_charges(numbered[at + 1 :], columns)
+        columns = columns | {"rent": -1}
+    else:
+        rows = [(n, {k: (row[i] or None) if i < len(row) else None for k, i in columns.items()}) for n, row in numbered[at + 1 :]]
+    for number, cell in rows:
         cell["rent"] = whole_rent(cell, columns)
         tenant, status = cell.get("tenant") or "", cell.get("status") or ""
         reason = None

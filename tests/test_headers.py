@@ -38,3 +38,14 @@ def test_rent_is_portion_and_subsidy():
     assert rents("Tenant,Unit,Tenant Portion,HAP\nAnn,1,$300.00,\"$1,200\"\nBob,2,,900\nCy,3,250,\nDi,4,,\n") == ["1500.00", "900.00", "250.00", None]
     assert rents("Tenant,Unit,Rent,Tenant Portion,Subsidy\nAnn,1,300,300,700\nBob,2,1000,300,700\nCy,3,300,,700\n") == ["1000.00", "1000", "300"]
     assert rents("Tenant,Unit,Rent,Tenant Share\nAnn,1,500,200\nBob,2,,200\n") == ["500", "200"]
+
+
+def test_charges_are_folded_under_their_unit():
+    text = "Unit,Resident,Charge Code,Amount\n101,Ann Lee,RENT,\"1,200.00\"\n,,Pet Rent,50\n,,CONC-movein,-100.00\n,,Total,1150\n102,Bob,rent,900\n,,Rent,(25.00)\n103,VACANT,,\n104,Cy,trash,20\n"
+    rows = delimited.parse_file("f", text.encode())
+    assert [(r["unit"], r["rent"], r["concession"], r["skip_reason"]) for r in rows] == [("101", "1200.00", "100.00", None), ("102", "875.00", "0.00", None), ("103", None, None, "no tenant"), ("104", "0.00", "0.00", None)]
+
+
+def test_concession_columns_are_read():
+    rows = delimited.parse_file("f", b"Tenant,Rent,Concessions\nAnn,900,75\nBob,800,\n")
+    assert [(r["rent"], r["concession"]) for r in rows] == [("900", "75"), ("800", None)]
