@@ -77,10 +77,15 @@ def answers(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
     return rows.select("question_id", "kind", F.when(F.col("kind") == "count", counted).otherwise(F.col("figure")).alias("value"), F.when(F.col("kind") == "aggregate", F.col("of")).alias("leases"))
 
 
+def _source(leases: DataFrame) -> Column:
+    """The file that an answer stands in, where leases know theirs."""
+    return (F.col("filename") if "filename" in leases.columns else F.lit(None).cast("string")).alias("source")
+
+
 def listed(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
     """``question_id, lease_id, tenant, end_date, source``: the leases that questions of kind list ask for, with the file that says so."""
     days = _by_day(classified(questions, as_of).where("kind = 'list'"), leases).select("question_id", "end_date")
-    return days.join(leases.select("lease_id", "tenant", "end_date", F.col("filename").alias("source")), "end_date").select("question_id", "lease_id", "tenant", "end_date", "source")
+    return days.join(leases.select("lease_id", "tenant", "end_date", _source(leases)), "end_date").select("question_id", "lease_id", "tenant", "end_date", "source")
 
 
 def looked_up(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
@@ -90,4 +95,4 @@ def looked_up(questions: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
     values = {f: F.col(f).cast("string") for f in FIELDS}
     value = reduce(lambda out, f: out.when(F.col("field") == f, values[f]), list(FIELDS)[1:], F.when(F.col("field") == "rent", values["rent"]))
     joined = asked.select("question_id", "field", "who", "word").join(rows, "word").where((F.col("key") == F.col("who")) | F.col("key").startswith(F.concat("who", F.lit(" "))))
-    return joined.select("question_id", "lease_id", "tenant", value.alias("value"), F.col("filename").alias("source"))
+    return joined.select("question_id", "lease_id", "tenant", value.alias("value"), _source(leases))
