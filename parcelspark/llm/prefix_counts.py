@@ -5,8 +5,9 @@ encoding and its token count.  A token that ends at a prefix can be its last
 one exactly if the BPE encoding of (last token of the shorter prefix + token)
 leaves the pair apart; one token alone meets this.  So one left-to-right pass
 gives the exact count at *every* prefix, and questions of truncation and
-budget need no further encoding.  Pair checks and pieces are memoised in
-bounded caches.
+budget need no further encoding.  The tokens that end at a prefix come from an
+automaton of all tokens (Aho-Corasick), one step a byte, so no slice that is no
+token is looked up.  Steps, pair checks and pieces are memoised in bounded caches.
 
 Equal to the ``tokenizers`` library on files of the byte-level layout, special
 strings counted as their one token.  A null text counts as empty; one row per
@@ -26,12 +27,16 @@ from parcelspark.llm.common import map_texts, tokenizer_path
 from parcelspark.llm.rank_bpe import WHITE, Cache, Merges
 
 LIMIT = 1024
+#: Stands before the first token of a piece; no file has this id.
+START = 0xFFFFF
 
 
 class PrefixCounter:
     PIECES = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + r"]+"
     )
+    #: The same for ASCII, whose classes need no table of Unicode.
+    PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
     #: White space runs stay with the word after them, as they share a boundary.
     RUNS = re.compile("[WHITE]{2,}[^WHITE]*| ?[^WHITE]+|[WHITE]+".replace("WHITE", WHITE))
     SPACES = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
@@ -42,9 +47,12 @@ class PrefixCounter:
         self.ids = {bytes(letter[c] for c in s): i for s, i in m.vocab.items() if all(c in letter for c in s)}
         self.raw = {i: b for b, i in self.ids.items()}
         self.single = m.single
-        self.longest = max(map(len, self.ids))
+        self.begins = {b[:n] for b in self.ids for n in range(len(b) + 1)}
+        self.states: dict[bytes, tuple[int, tuple]] = {}
+        self.seen: list[bytes] = []
+        self.root = self.state(b"")[0]
+        self.steps: dict[int, tuple[int, tuple]] = Cache(self.step, 1_000_000)
         self.apart: dict[int, bool] = Cache(self._apart, 1_000_000)
-        self.alone: dict[int, bool] = Cache(lambda i: self._encode(self.raw[i]) == [i], 100_000)
         self.pieces: dict[str, bytes | list[int]] = Cache(self.table)
         self.words: dict[str, bytes | list[int]] = Cache(self.counts)
         self.spaced: dict[str, bytes | list[int] | None] = Cache(self.after_space)
@@ -55,28 +63,50 @@ class PrefixCounter:
 
     def _apart(self, key: int) -> bool:
         a, b = key >> 20, key & 0xFFFFF
+        if a == START:
+            return self._encode(self.raw[b]) == [b]
         return self._encode(self.raw[a] + self.raw[b]) == [a, b]
 
+    def state(self, suffix: bytes) -> tuple[int, tuple]:
+        """The automaton's state at ``suffix``, a beginning of a token: its number, shifted, and the tokens that end there, longest first."""
+        if suffix not in self.states:
+            ends = [(self.ids[suffix[i:]], len(suffix) - i) for i in range(len(suffix)) if suffix[i:] in self.ids]
+            self.states[suffix] = len(self.seen) << 8, tuple(ends)
+            self.seen.append(suffix)
+        return self.states[suffix]
+
+    def step(self, key: int) -> tuple[int, tuple]:
+        """The state after one more byte: the longest suffix that begins a token."""
+        suffix = self.seen[key >> 8] + bytes([key & 0xFF])
+        while suffix not in self.begins:
+            suffix = suffix[1:]
+        return self.state(suffix)
+
     def table(self, piece: str):
         """Token counts of the prefixes of one piece, at each code point."""
         raw = piece.encode("utf-8")
-        last, count = [-1], [0]
-        for end in range(1, len(raw) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = self.ids.get(raw[begin:end])
-                if token is not None and (self.apart[last[begin] << 20 | token] if begin else self.alone[token]):
-                    last.append(token)
-                    count.append(count[begin] + 1)
+        steps, apart, at = self.steps, self.apart, self.root
+        last, count = [START << 20], [0]
+        for end, byte in enumerate(raw, 1):
+            at, tokens = steps[at | byte]
+            for token, size in tokens:
+                if apart[last[end - size] | token]:
+                    last.append(token << 20)
+                    count.append(count[end - size] + 1)
                     break
         if len(raw) == len(piece):
-            out = count[1:]
+            del count[0]
+            out = count
         else:
             out = [count[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        return bytes(out) if max(out) < 256 else out
+        return bytes(out) if out[-1] < 256 and max(out) < 256 else out
 
     def counts(self, word: str):
         """Counts at each code point of a stretch whose pieces its ends do not change."""
-        pieces = self.PIECES.findall(word)
+        ascii = word.isascii()
+        if ascii and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self.pieces[word]
+        pieces = (self.PLAIN if ascii else self.PIECES).findall(word)
         if len(pieces) == 1 and word[0] != "'":
             return self.pieces[word]
         out: list[int] = []
@@ -90,9 +120,9 @@ class PrefixCounter:
             if run and p[0].isspace():  # cut after this character, the whole run is one piece
                 first = run_base + self.pieces[run + p[0]][-1]
                 out.append(first)
-                out.extend(base + c for c in inner[1:])
+                out.extend([base + c for c in inner[1:]])
             else:
-                out.extend(base + c for c in inner)
+                out.extend([base + c for c in inner] if base else inner)
             run, run_base = (p, base) if p.isspace() else ("", 0)
             base += inner[-1]
         out[-1] = base
