@@ -38,6 +38,18 @@ def test_one_glued_row_among_many_closes_no_gutter(spark):
     assert got[2][1, 1] == "1000"  # too few rows to allow one, so the header's parts decide
 
 
+def test_a_space_that_all_names_share_is_no_gutter(spark):
+    header = [(10, "Tenant"), (150, "Rent")]
+    narrow = [(y, [(10, "T910"), (40, "Holder"), (150, "900")]) for y in (40, 60, 80)]
+    headed = [(y, [(10, "Ann"), (40, "Holder"), (150, "900")]) for y in (40, 60, 80)]
+    wide = [(y, [(10, "T1"), (32, "B"), (150, "900")]) for y in (40, 60, 80)]
+    title = (0, [(10, "Rent"), (40, "roll")])
+    got = grid(spark, page(1, [title, (20, header), *narrow]) + page(2, [title, (20, [(10, "Name"), (40, "Kind"), (150, "Rent")]), *headed]) + page(3, [title, (20, header), *wide]))
+    assert [got[1][2, c] for c in range(2)] == ["T910 Holder", "900"] and got[1][0, 0] == "Rent roll" and got[1][1, 1] == "Rent"
+    assert [got[2][2, c] for c in range(3)] == ["Ann", "Holder", "900"]  # no word of the header covers this gutter
+    assert [got[3][2, c] for c in range(3)] == ["T1", "B", "900"]  # too wide to be a space
+
+
 def test_few_rows_one_part_and_one_word(spark):
     got = grid(
         spark,
