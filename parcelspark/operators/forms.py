@@ -74,30 +74,34 @@ def form_fields(words: DataFrame, rules: DataFrame) -> DataFrame:
     of several places of a label the uppermost.
     """
     rows = layout.with_rows(words).withColumn("w", F.struct("x", "word_id", "y", "width", "height", "text"))
-    lines = rows.groupBy("page_id", "row").agg(F.array_sort(F.collect_list("w")).alias("line"))
-    said = lines.select("page_id", F.struct("row", F.array_join(F.transform("line", lambda w: F.regexp_replace(w["text"], r"\s", "")), " ").alias("text")).alias("r"))
-    texts = said.groupBy(F.col("page_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]), "\n").alias("text"))
+    lines = rows.groupBy("page_id", "row").agg(F.array_sort(F.collect_list("w")).alias("words"))
+    # A page is one row from here on, and pages meet labels by a merge: what a page holds is more than the planner expects, and no broadcast bears it.
+    pages = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row", "words"))).alias("lines"))
+    said = F.transform("lines", lambda r: F.array_join(F.transform(r["words"], lambda w: F.regexp_replace(w["text"], r"\s", "")), " "))
+    texts = pages.select(F.col("page_id").alias("doc_id"), F.array_join(said, "\n").alias("text"))
 
     asked = rules.withColumn("phrase_id", F.col("phrase"))
     hits = phrases.fuzzy_phrases(texts, asked.select("phrase_id", "phrase").distinct()).withColumnsRenamed({"doc_id": "page_id", "words": "n_words"})
-    placed = hits.withColumnRenamed("line", "row").join(lines.withColumnRenamed("line", "line_words"), ["page_id", "row"])
-    start, end = F.get("line_words", F.col("first")), F.get("line_words", F.col("first") + F.col("n_words") - 1)
+    placed = hits.join(pages.hint("merge"), "page_id").withColumn("words", F.get("lines", F.col("line"))["words"])
+    start, end = F.get("words", F.col("first")), F.get("words", F.col("first") + F.col("n_words") - 1)
     label = placed.select(
-        "page_id", "phrase_id", "likeness", start["x"].alias("left"), (end["x"] + end["width"]).alias("right"), start["y"].alias("top"), (start["y"] + start["height"] / 2).alias("middle"),
-        F.transform(F.slice("line_words", F.col("first") + 1, F.col("n_words")), lambda w: w["word_id"]).alias("own"),
+        "page_id", "phrase_id", "likeness", "lines", start["x"].alias("left"), (end["x"] + end["width"]).alias("right"), start["y"].alias("top"), (start["y"] + start["height"] / 2).alias("middle"),
+        F.transform(F.slice("words", F.col("first") + 1, F.col("n_words")), lambda w: w["word_id"]).alias("own"),
     )
     uppermost = F.row_number().over(Window.partitionBy("page_id", "phrase_id").orderBy("top", "left"))
     label = label.withColumn("place", uppermost).where("place = 1").drop("place")
     edge = F.when(F.col("from_end"), F.col("right")).otherwise(F.col("left"))
-    boxes = label.join(asked.drop("phrase"), "phrase_id").withColumns({"bx0": edge + F.col("x0"), "bx1": edge + F.col("x1"), "by0": F.col("top") + F.col("y0"), "by1": F.col("top") + F.col("y1")})
-
-    own = rows.select("page_id", "row", "word_id", "x", "text", (F.col("x") + F.col("width") / 2).alias("mid_x"), (F.col("y") + F.col("height") / 2).alias("mid_y"))
-    inside = boxes.join(own, "page_id").where(F.col("mid_x").between(F.col("bx0"), F.col("bx1")) & F.col("mid_y").between(F.col("by0"), F.col("by1")) & ~F.array_contains("own", F.col("word_id")))
-    inside = inside.where((F.col("y0") < SAME_LINE) | (F.abs(F.col("mid_y") - F.col("middle")) > SAME_LINE))
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "x", "word_id", "text"))), lambda w: w["text"]), " ")
-    key = ["page_id", "form", "field", "nth", "kind", "likeness"]
-    found = inside.groupBy(*key).agg(raw.alias("raw"))
+    boxes = label.join(F.broadcast(asked.drop("phrase")), "phrase_id").withColumns({"bx0": edge + F.col("x0"), "bx1": edge + F.col("x1"), "by0": F.col("top") + F.col("y0"), "by1": F.col("top") + F.col("y1")})
+
+    def stands(w):
+        x, y = w["x"] + w["width"] / 2, w["y"] + w["height"] / 2
+        below = (F.col("y0") < SAME_LINE) | (F.abs(y - F.col("middle")) > SAME_LINE)
+        return x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")) & below & ~F.array_contains("own", w["word_id"])
+
+    # Rows and their words are in order.
+    inside = F.filter(F.flatten(F.transform("lines", lambda r: r["words"])), stands)
+    found = boxes.withColumn("inside", inside).where(F.size("inside") > 0).withColumn("raw", F.array_join(F.transform("inside", lambda w: w["text"]), " "))
     printed = asked.groupBy("form").agg(F.collect_set(phrases.bare(F.col("phrase"))).alias("labels"))
-    found = found.join(printed, "form").withColumn("value", value(F.col("raw"), F.col("kind"), F.col("labels"))).where("value IS NOT NULL")
+    found = found.join(F.broadcast(printed), "form").withColumn("value", value(F.col("raw"), F.col("kind"), F.col("labels"))).where("value IS NOT NULL")
     best = found.groupBy("page_id", "form", "field").agg(F.min_by(F.struct("value", "raw", "likeness"), F.struct("nth", "raw")).alias("x"))
     return best.select("page_id", "form", "field", "x.*")

@@ -20,8 +20,7 @@ NARROW = 1.5
 def with_rows(words: DataFrame, gap: float = 0.7) -> DataFrame:
     """Words with ``row`` and their page's ``median`` height: a step down of more than ``gap`` of it begins a row."""
     down = Window.partitionBy("page_id").orderBy("y", "x", "word_id")
-    height = words.groupBy("page_id").agg(F.percentile("height", 0.5).alias("median"))
-    rows = words.join(height, "page_id").withColumn("starts", F.coalesce((F.col("y") - F.lag("y").over(down) > F.col("median") * gap).cast("int"), F.lit(0)))
+    rows = words.withColumn("median", F.percentile("height", 0.5).over(Window.partitionBy("page_id"))).withColumn("starts", F.coalesce((F.col("y") - F.lag("y").over(down) > F.col("median") * gap).cast("int"), F.lit(0)))
     return rows.withColumn("row", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 

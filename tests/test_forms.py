@@ -45,6 +45,16 @@ def test_labels_boxes_and_second_choices(spark):
     assert forms.form_fields(spark.createDataFrame([], WORDS), rules).count() == 0
 
 
+def test_no_page_is_broadcast(spark):
+    """The planner takes generated words for few; only rules may be sent to all tasks."""
+    rules = spark.createDataFrame([("a", "rent", 0, "Contract Rent", True, 2.0, -3.0, 90.0, 11.0, "money")], RULES)
+    words = spark.range(3).selectExpr("id AS page_id", "posexplode(array('Contract', 'Rent', '900')) AS (w, text)").selectExpr("page_id", "cast(w AS long) AS word_id", "int(10 + 54 * w) AS x", "20 AS y", "6 * length(text) AS width", "8 AS height", "text")
+    found = forms.form_fields(words, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [page_id" in plan and "BroadcastHashJoin [page_id" not in plan and "BroadcastHashJoin [line_key" not in plan
+    assert sorted(tuple(r) for r in found.select("page_id", "value").collect()) == [(i, "$900.00") for i in range(3)]
+
+
 def test_doubts_lower_confidence(spark):
     rows = [
         (1, "rent_amount", "$20", "high", 1), (1, "lease_start_date", "2024-05-01", "high", 1), (1, "lease_end_date", "2024-05-01", "medium", 2), (1, "square_footage", "3,000,000 sq ft", "low", 2),

@@ -118,6 +118,15 @@ def test_phrases_equal_every_window(spark):
     assert same >= 0.97 * len(want) and set(got) <= set(want) and len(want) > 300
 
 
+def test_lines_stay_where_they_are(spark):
+    """Only what was found is dealt anew: no line, triple or page is joined or broadcast."""
+    docs = spark.createDataFrame([(1, "Contract Rnet to Owner")], "doc_id long, text string")
+    found = phrases.fuzzy_phrases(docs, spark.createDataFrame([(7, "Contract Rent to Owner")], "phrase_id long, phrase string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 0, 0, 4, 0.9474)]
+
+
 def test_registered_phrases_are_found(spark, small):
     got = pages.fuzzy_phrases(spark, small).collect()
     labels = {r.phrase_id: r.phrase for r in pages.labels(spark, small).collect()}
