@@ -45,3 +45,11 @@ def test_building_trends_without_distinct(spark):
     assert got == {(1, "b"): (3, 2, 1, 2), (1, "c"): (2, 1, 0, 2), (1, "(all)"): (5, 3, 1, 4)}
     plan = history.building_trends(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct" not in plan.lower()
+
+
+def test_alerts_parse_the_leases_once(spark, small):
+    """Candidates are read from a table of parsed leases and one of keyed flags, not from the orders again and again."""
+    from parcelspark.plans import catalog
+
+    plan = catalog.alert_candidates(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and plan.count("Relation") >= 5
