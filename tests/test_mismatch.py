@@ -107,3 +107,9 @@ def test_statement_detectors(spark):
     assert "t12_bad_debt_trend" not in {r.discrepancy_type for r in reconcile.statement_findings(typed(spark, vacant), full, rising).collect()}
     whole = reconcile.report(typed(spark, rows), DAY, full, rising)
     assert {r.discrepancy_type for r in whole.collect()} == {*got, "unit_no_lease"}
+
+
+def test_a_report_rates_rents_by_whole_cents(spark):
+    """1250.07 less 1000.07 is a hair under 250 in doubles; the report shows 250.00 and rates that."""
+    rows = typed(spark, [(1, True, "u1", "Ann Lee", 1250.07, *TERM, None, None), (2, False, "u1", "Ann Lee", 1000.07, *TERM, None, None)])
+    assert [(r.monthly_impact, r.severity) for r in reconcile.report(rows, DAY).collect()] == [(250.0, "medium")]
